@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step inside a Python worker holds at once. A single
@@ -40,20 +41,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of ``column`` at most,
-    and one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of ``column`` and ``rows``
+    rows at most, and one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
@@ -86,20 +87,21 @@ def _powers(n: int) -> np.ndarray:
 
 def flat_utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null is empty."""
-    col = pa.compute.fill_null(col.cast(pa.large_binary()), b"")
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
     flat = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, fold: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each row, with the row of each word and its
-    first byte. Words are runs without space or 0x09 to 0x0D; ``fold`` lowers A-Z."""
+    first byte. Words are runs without the bytes that ``space`` marks, by default
+    space and 0x09 to 0x0D; ``fold`` lowers A-Z."""
     if not len(flat):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none
-    inside = ~SPACE[flat]
+    inside = ~space[flat]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]

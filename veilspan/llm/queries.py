@@ -4,13 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, language_id, pii, quality_rules, secret_scan
 from .common import table
 
 
+def _joined(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined in the order given."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x.kind == kind)).cast("long")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        *[_count("base", k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(_joined("base"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+        F.size("links").cast("long").alias("n_links"),
+    )
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.language_id(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -21,8 +46,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf_dir, "documents"))
+    terms = F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x.start.alias("start"), x.end.alias("end")))
+    return out.withColumn("spans", F.concat("base", terms)).select(
+        F.col("id").alias("doc_id"),
+        *[_count("base", k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(_joined("base"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_quality_rules)}
+    found = (op1_secret_scan, op2_language_id, op3_exact_dedup, op7_quality_rules, op9_pii)
+    return {f.__name__: f for f in found}
 
 
 _OP3_SQL = """
