@@ -155,7 +155,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ).where("id IS NOT NULL AND lang IS NOT NULL AND NOT out")
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     # a hash threshold per language, a little high, then the exact bound on the driver
-    bound = {r["lang"]: -(1 << 63) + int(min(1.0, 1.5 * (per_language + 20) / r["count"]) * ((1 << 64) - 1)) for r in counts}
+    bound = {r["lang"]: min((1 << 63) - 1, int((2 * min(1.0, 1.5 * (per_language + 20) / r["count"]) - 1) * (1 << 63))) for r in counts}
     if not bound:
         return Model(np.zeros((0, BUCKETS), np.float32), np.zeros(0, object))
     limit = F.create_map(*[F.lit(v) for kv in bound.items() for v in kv])
