@@ -289,7 +289,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str
     own = dealt(stray).withColumn("sb", F.pmod(F.xxhash64("id"), F.col("sp"))).withColumn("ab", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ap") - 1)))
     all_ = dealt(sets).withColumn("ab", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ap"))).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sp") - 1)))
     keys = ["g", "sb", "ab"]
-    met = own.select(*keys, "id", "elements").groupBy(*keys).cogroup(all_.select(*keys, "id", "elements").groupBy(*keys)).applyInArrow(_blocks(percent), "a long, b long")
+    columns = [*keys, "id", "elements"]
+    met = own.select(*columns).toDF(*columns).groupBy(*keys).cogroup(all_.select(*columns).toDF(*columns).groupBy(*keys)).applyInArrow(_blocks(percent), "a long, b long")
     return done.unionByName(connected_components(star.unionByName(met), "near-large"))
 
 
