@@ -44,11 +44,12 @@ FAMILIES = {
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def profiles(col: pa.Array) -> np.ndarray:
-    """A unit row of hashed trigram weights for each text; zero for texts under one byte."""
+def profiles(col: pa.Array, fold: bool = True) -> np.ndarray:
+    """A unit row of hashed trigram weights for each text; zero for texts under one
+    byte. ``fold`` lowers A-Z."""
     flat, offsets = flat_utf8(col)
     n = len(offsets) - 1
-    flat = LOWER[flat].astype(np.uint32)
+    flat = (LOWER[flat] if fold else flat).astype(np.uint32)
     if len(flat) < 1:
         return np.zeros((n, BUCKETS), np.float32)
     b1, b2 = np.roll(flat, -1), np.roll(flat, -2)

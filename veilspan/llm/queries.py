@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_rules, secret_scan, warc
+from . import exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, secret_scan, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_model(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.save_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
@@ -75,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_near_dedup, op6_warc, op7_quality_rules, op8_pieces, op9_pii, op10_mixing)
+    found = (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_near_dedup, op5_quality_model, op6_warc, op7_quality_rules, op8_pieces, op9_pii, op10_mixing)
     return {f.__name__: f for f in found}
 
 
