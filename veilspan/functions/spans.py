@@ -25,11 +25,12 @@ def matches(text: Column, pattern: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, text: string>>").alias("out"))
-    step = lambda acc, x: F.struct(
+    step = lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(F.struct(
         (acc["at"] + x["gap"] + F.char_length(x["hit"])).cast("int").alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).cast("int").alias("start"), x["hit"].alias("text")))).alias("out"),
-    )
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    ))
+    # the last piece has no match after it; either side is named once, so it runs once
+    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
@@ -57,9 +58,9 @@ def occurrences(text: Column, needle: Column) -> Column:
     size = F.char_length(needle)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     fold = F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1), start,
+        pieces, start,
         lambda acc, g: F.struct((acc["at"] + g + size).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + g).cast("int"))).alias("out")),
-        lambda acc: acc["out"],
+        lambda acc: F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),  # after the last piece there is none
     )
     return F.when(size > 0, fold).otherwise(F.array().cast("array<int>"))
 
