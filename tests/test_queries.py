@@ -1,0 +1,37 @@
+"""Every query with SQL gives the rows of its DuckDB twin on the smallest tables."""
+
+import decimal
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+
+
+def plain(x):
+    return str(float(x)) if isinstance(x, (float, decimal.Decimal)) else str(x)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_twin(spark, duck, name):
+    df = entry.queries()[name](spark, SF)
+    want = duck.sql(entry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    cols = sorted(want.columns)
+    assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in want.select(*cols).fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 200
