@@ -73,15 +73,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _TABLE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0xD1342543DE82EF95)
-_POWERS = np.ones(64, dtype=np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = _powers_to(64)
 
 
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if n > len(_POWERS):
-        out = np.full(max(n, 2 * len(_POWERS)), _BASE, dtype=np.uint64)
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
+        _POWERS = _powers_to(2 * n)
     return _POWERS
 
 
