@@ -64,15 +64,15 @@ def score(argv: Sequence[str]) -> int:
 
     spark = SparkSession.builder.appName("veilspan-score").config("spark.ui.enabled", "false").getOrCreate()
     corpus, _ = read_corpus(spark, argv[0])
-    late, tables = evaluate.late_text(corpus.samples), {}
+    systems = {}
     for path in argv[1:]:
         examined, names, rejected = read_detections(spark, path)
         system = (examined.select("system").first() or [path])[0]
-        tables[system] = evaluate.breakdown(evaluate.name_outcomes(corpus, names, rejected, late))
-        s = evaluate.name_summary(corpus, names).first()
-        print(f"{system}: precision {s['precision']}, {s['false_positives']} false positives of {s['detections']} detections")
-    for r in evaluate.comparison(tables).collect():
-        print(r["label"].ljust(18), str(r["n"]).rjust(6), *[(r[t] or "-").ljust(16) for t in tables])
+        systems[system] = (names, rejected)
+        for title, ids in (("UNEXAMINED samples, scored as missed", evaluate.unexamined_samples(corpus, examined)), ("UNKNOWN sample ids, ignored", evaluate.unknown_samples(corpus, examined))):
+            if found := [r["id"] for r in ids.orderBy("id").collect()]:
+                print(f"{system}: {title}: {', '.join(found)}")
+    print(evaluate.render_names(corpus, systems), end="")
     return 0
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import report_order
 from ..functions.spans import occurrences, overlap
 from ..functions.text import japanese_lines, written_script
+from ..functions.unicode import nfkc
 
 SCRIPTS = ("kanji", "hiragana", "katakana", "romaji", "mixed")
 FORMS = ("full", "familyOnly", "givenOnly")
@@ -230,9 +231,31 @@ def comparison(tables: dict[str, DataFrame]) -> DataFrame:
     return both.groupBy("label").pivot("system", list(tables)).agg(F.first("cell")).join(both.groupBy("label").agg(F.max("expected").alias("n")), "label").orderBy(order, "label")
 
 
+def render_names(c: Corpus, systems: dict[str, tuple[DataFrame, DataFrame | None]]) -> str:
+    """The comparison as text: recall by label, precision, misses and false positives
+    of each system (its detections and rejected texts). For a corpus labelled by hand."""
+    late = late_text(c.samples)
+    outcomes = {s: name_outcomes(c, names, rejected, late) for s, (names, rejected) in systems.items()}
+    out = ["## Recall (covered / expected)", "", "label".ljust(18) + "n".rjust(6) + "  " + "".join(s.ljust(16) for s in systems)]
+    for r in comparison({s: breakdown(o) for s, o in outcomes.items()}).collect():
+        out.append(r["label"].ljust(18) + str(r["n"]).rjust(6) + "  " + "".join((r[s] or "-").ljust(16) for s in systems))
+    out += ["", "## Precision", ""]
+    for s, (names, _) in systems.items():
+        x = name_summary(c, names).first()
+        share = "-" if x["precision"] is None else f"{x['precision'] * 100:.1f}%"
+        out.append(f"{s.ljust(16)} {share}  {x['false_positives']} false positives of {x['detections']} detections")
+    for s, (names, _) in systems.items():
+        misses = outcomes[s].where("outcome <> 'covered'").orderBy("id", "start").collect()
+        wrong = false_names(c, names).orderBy("id", "start").collect()
+        bad = checked_detections(c.samples, names).where("problem IS NOT NULL").orderBy("id", "text").collect()
+        out += ["", f"## {s}", "", f"missed or partial ({len(misses)}):", *[f"  [{r['id']}] {r['text']}  {r['cause'] or r['outcome']}" for r in misses]]
+        out += [f"false positives ({len(wrong)}):", *[f"  [{r['id']}] {r['text']!r}" for r in wrong], *[f"INVALID detection: [{r['id']}] {r['text']!r} {r['problem']}" for r in bad]]
+    return "\n".join(out) + "\n"
+
+
 def lint(c: Corpus) -> DataFrame:
-    """(id, text, problem): what a name corpus must not have. Names should be NFKC
-    already; scripts are judged as written."""
+    """(id, text, problem): what a name corpus must not have. Scripts are judged on the
+    NFKC-folded name."""
     s, e = c.samples, c.expected
     none = F.lit(None).cast("string")
     rows = [
@@ -245,13 +268,15 @@ def lint(c: Corpus) -> DataFrame:
     tags = F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))
     scripts = F.array_intersect(tags, F.array(*[F.lit(x) for x in SCRIPTS]))
     forms = F.array_intersect(tags, F.array(*[F.lit(x) for x in FORMS]))
-    written = written_script(F.col("text"))
+    names = names.withColumn("__folded", nfkc(F.col("text")))
+    written = written_script(F.col("__folded"))
     tests = F.array(
         F.when(F.size(scripts) == 0, F.lit("no script tag")), F.when(F.size(scripts) > 1, F.lit("more than one script tag")),
         F.when((F.size(scripts) == 1) & written.isNotNull() & (F.get(scripts, F.lit(0)) != written), F.concat(F.lit("tagged "), F.get(scripts, F.lit(0)), F.lit(" but written in "), written)),
         F.when(F.size(forms) == 0, F.lit("no form tag")), F.when(F.size(forms) > 1, F.lit("more than one form tag")),
     )
     rows.append(names.select("id", "text", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("problem")))
+    names = names.drop("__folded")
     rows.append(corpus_errors(Corpus(s, names, c.forbidden)).select("id", "text", F.lit("not in the text").alias("problem")))
     bad = _placed(names, s).alias("n").join(_placed(c.forbidden, s).alias("f"), (F.col("n.id") == F.col("f.id")) & overlap(_at("n"), _at("f")), "left_semi")
     rows.append(bad.select("id", "text").distinct().withColumn("problem", F.lit("also inside a forbidden text")))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .functions import spans as S
 from .functions import text as T
 from .functions.kinds import FINDING, SPAN
+from .functions.unicode import nfkc
 from .operators import batches, evaluate, lexicon, masking, patterns, reconcile, report, terms
-from .plans import lexicon_jobs
+from .plans import lexicon_jobs, probe
 from .plans.redact import Config, detect, long_findings, mask, with_report
 from .plugins import Token, bio_spans, merge_spans
 from .streaming.redact_stream import mask_stream, write_stream
@@ -42,6 +43,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), over all cores: a small table in one file is one task otherwise.
+    Tables of many files are left as they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    parts = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    return docs.repartition(cores) if parts < min(cores, 8) else docs
+
+
 def _long(df: DataFrame, spans: Column, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, start, len, text) of an array of spans."""
     out = df.select(F.col(id_col).alias("doc_id"), F.explode_outer(spans).alias("s")).where("s IS NOT NULL")
@@ -82,7 +92,7 @@ _TWIN_MASKED = f"""
 
 @_query(_twin(patterns.EMAIL))
 def detect_email(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return _long(docs, patterns.emails(F.col("text")))
 
 
@@ -93,28 +103,28 @@ def detect_email_pages(spark, sf_dir):
 
 @_query(_TWIN_TOKEN)
 def detect_named_secret(spark, sf_dir):
-    return _long(_table(spark, sf_dir, "documents"), patterns.named_credentials(F.col("text")))
+    return _long(_documents(spark, sf_dir), patterns.named_credentials(F.col("text")))
 
 
 @_query(_twin(_PHONE_US))
 def detect_phone(spark, sf_dir):
-    return _long(_table(spark, sf_dir, "documents"), patterns.phones(F.col("text")))
+    return _long(_documents(spark, sf_dir), patterns.phones(F.col("text")))
 
 
 @_query(f"SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_TWIN_FINDINGS}) GROUP BY kind")
 def count_findings_by_kind(spark, sf_dir):
-    found = long_findings(detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = long_findings(detect(_documents(spark, sf_dir)))
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @_query(_TWIN_MASKED)
 def mask_documents(spark, sf_dir):
-    out = mask(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = mask(_documents(spark, sf_dir))
     return out.select("doc_id", "masked", F.size("findings").cast("long").alias("n_findings"))
 
 
 def _untouched(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
-    docs = detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = detect(_documents(spark, sf_dir))
     places = S.spans(F.col("text"), pattern, "probe", "probe")
     rows = docs.select("doc_id", "findings", F.explode_outer(places).alias("p")).where("p IS NOT NULL")
     hit = F.exists("findings", lambda f: S.overlap(f, F.col("p")))
@@ -154,7 +164,7 @@ def mask_stream_documents(spark, sf_dir):
 
 @_query("SELECT doc_id, 2 AS n_warnings, 'disabled' AS model, 'disabled' AS ner, coalesce(n, 0) AS n_findings FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM (" + _TWIN_FINDINGS + ") GROUP BY doc_id) USING (doc_id)")
 def report_documents(spark, sf_dir):
-    out = with_report(mask(_table(spark, sf_dir, "documents").select("doc_id", "text")), pretty=False)
+    out = with_report(mask(_documents(spark, sf_dir)), pretty=False)
     j = F.from_json("report", "findings array<struct<confidence: string, kind: string, length: int, location: int, placeholder: string, sources: array<string>, text: string>>, masked string, model string, modelDetail string, ner string, nerDetail string, warnings array<string>")
     return out.select("doc_id", j.alias("j")).select("doc_id", F.size("j.warnings").alias("n_warnings"), "j.model", "j.ner", F.size("j.findings").cast("long").alias("n_findings"))
 
@@ -646,6 +656,28 @@ def layer_warnings(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.array_join(report.warnings(model, ner), "|").alias("warnings"))
 
 
+@_query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('ABC', CAST(c_custkey AS STRING), 'ガ(株)') AS text, 'mixed' AS script FROM customer")
+def nfkc_scripts(spark, sf_dir):
+    """Width and composition folded; the script is judged on the fold."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", "concat('ＡＢＣ', CAST(c_custkey AS STRING), 'ｶﾞ㈱')")
+    folded = docs.select("doc_id", nfkc(F.col("text")).alias("text"))
+    return folded.select("doc_id", "text", T.written_script(F.col("text")).alias("script"))
+
+
+@_query("SELECT CAST(c_custkey AS STRING) AS id FROM customer WHERE c_custkey % 5 = 0")
+def probe_differing(spark, sf_dir):
+    """Samples whose detections differ when the codes are no longer found."""
+    found = _found(spark, sf_dir)
+    return probe.differing(found, found.where("kind = 'email'"))
+
+
+@_query("SELECT 'email' AS kind, count(*) AS expected, count(*) AS hit FROM customer UNION ALL SELECT 'personalName', count(*), 0 FROM customer WHERE c_custkey % 7 <> 0")
+def probe_corpus(spark, sf_dir):
+    """The pipeline over the planted corpus, scored."""
+    c = _corpus(spark, sf_dir)
+    return evaluate.kind_recall(c, probe.detections(c)).select("kind", "expected", "hit")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -129,3 +129,10 @@ def clean_terms(df: DataFrame, column: str = "value") -> DataFrame:
     """A term list that is a table already."""
     t = trimmed(F.col(column))
     return df.select(t.alias("term")).where("term <> '' AND NOT startswith(term, '#')")
+
+
+def write_split(samples: DataFrame, path: str, id_col: str = "id") -> None:
+    """Samples as JSON lines in folders side=dev and side=test, by the hash of their id."""
+    from ..plans.lexicon_jobs import side
+
+    samples.withColumn("side", side(F.col(id_col))).write.mode("overwrite").partitionBy("side").json(path)
