@@ -20,15 +20,15 @@ ORACLE_SQL = None
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids (a column ``id``), with the columns of
-    docs; null is an id like any other."""
-    wanted = ids.select(F.col("id").alias("__id"))
+    docs; null is an id like any other. The ids grow with the corpus, so the join is
+    a shuffle at every size; hashing the ids spares sorting the texts."""
+    wanted = ids.select(F.col("id").alias("__id")).hint("shuffle_hash")
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
-    out = language_id.language_id(docs)
-    return _only(docs, materialize(out.where(F.col("lang_pred") != language_id.UNDETERMINED).select("id").distinct(), "pipeline-language"))
+    return language_id.identified_only(docs, language_id.fit(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, ordered over and within the files by their place in the mixture."""
     places = materialize(mixing.mix(docs).groupBy("id").agg(F.min("position").alias("__position")).withColumnRenamed("id", "__id"), "pipeline-mix")
-    placed = docs.join(places, docs["doc_id"].eqNullSafe(places["__id"]))
-    return placed.repartitionByRange("__position").sortWithinPartitions("__position").select(*[docs[c] for c in docs.columns])
+    placed = docs.join(places.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(places["__id"]))
+    position = places["__position"]
+    return placed.repartitionByRange(position).sortWithinPartitions(position).select(*[docs[c] for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

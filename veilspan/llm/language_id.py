@@ -208,6 +208,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(key.alias("id"), held_out(key).alias("held_out"), docs[text_col].cast("string").alias("t")).mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")
 
 
+def identified_only(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told. Nothing is
+    shuffled or joined: rows pass through the worker that judges them."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, rows=_ROWS):
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            lang, _ = sent.value.predict(profiles(texts))
+            keep = [t is not None and bool(_LETTER.search(t)) and v != UNDETERMINED for t, v in zip(texts.to_pylist(), lang)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the labelled rows of docs that are not held out, then identify all rows."""
     return identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
