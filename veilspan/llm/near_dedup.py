@@ -87,7 +87,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
     """(id, n, f1, f2, regs) of every row; regs is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", limit=1 << 20, rows=4096):
             rows = batch.num_rows
             el, row = shingle_sets(batch.column(1))
             n = np.bincount(row, minlength=rows)
@@ -258,7 +258,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t")).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", limit=1 << 20, rows=4096):
             el, row = shingle_sets(batch.column(5))
             f = fingerprints(el, row, batch.num_rows).view(np.int64)
             ok = (f[:, 0] == np.asarray(batch.column(3))) & (f[:, 1] == np.asarray(batch.column(4)))

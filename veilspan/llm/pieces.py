@@ -35,7 +35,9 @@ from .common import slices
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Parts whose results a worker remembers before it begins anew.
-REMEMBER = 150_000
+REMEMBER = 100_000
+#: New parts that are segmented at once; this bounds the edges in memory.
+LEARN = 8192
 #: Longer parts are segmented one by one.
 LONG = 64
 #: Below the worst piece, a character that no piece spells scores this much less.
@@ -342,7 +344,9 @@ class Encoder:
         sizes = np.array([len(s) for s in split], np.int64)
         number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if len(self.number) > known:
-            self._learn(list(islice(self.number, known, None)))
+            fresh = islice(self.number, known, None)
+            while parts := list(islice(fresh, LEARN)):
+                self._learn(parts)
         count = self.count[number]
         ends = np.cumsum(count)
         first = (np.cumsum(self.count) - self.count)[number]
