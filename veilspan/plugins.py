@@ -13,6 +13,7 @@ from typing import NamedTuple, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions.kinds import SPAN
 from .operators.batches import Chunk, narrowed, pack
@@ -141,6 +142,10 @@ _FAILURE = pa.struct([("index", pa.int32()), ("total", pa.int32()), ("characters
 _STATE = pa.struct([("token", pa.string()), ("detail", pa.string())])
 
 
+def _with(docs: DataFrame, ddl: str) -> StructType:
+    return StructType([*docs.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def _rows(found: list[tuple[int, int, str]], source: str) -> list[dict]:
     return [{"kind": "personalName", "source": source, "start": s, "len": e - s, "text": t, "confidence": None} for s, e, t in found]
 
@@ -151,7 +156,7 @@ def with_tagger(docs: DataFrame, make: Callable[[], Tagger] | None, names: Names
     if make is None:
         return docs.withColumns({"ner_spans": F.array().cast(f"array<{SPAN}>"), "ner_state": F.struct(F.lit("disabled").alias("token"), F.lit(None).cast("string").alias("detail"))})
     lists = names or Names()
-    schema = docs.schema.add("ner_spans", f"array<{SPAN}>").add("ner_state", "struct<token: string, detail: string>")
+    schema = _with(docs, f"ner_spans array<{SPAN}>, ner_state struct<token: string, detail: string>")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,7 @@ def with_language_model(docs: DataFrame, make: Callable[[], Callable[[str], list
             "model_failures": F.array().cast(failures), "model_ungrounded": F.array().cast("array<string>"),
         })
     lists = names or Names()
-    schema = docs.schema.add("model_spans", f"array<{SPAN}>").add("model_state", "struct<token: string, detail: string>").add("model_failures", failures).add("model_ungrounded", "array<string>")
+    schema = _with(docs, f"model_spans array<{SPAN}>, model_state struct<token: string, detail: string>, model_failures {failures}, model_ungrounded array<string>")
     at = docs.columns.index(text_col)
 
     def lines(text: str) -> list[tuple[str, int]]:
