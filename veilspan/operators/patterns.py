@@ -20,21 +20,22 @@ EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 POSTAL = rf"(?U)〒\s*{_D}{{3}}{_DASH}{_D}{{4}}"
 URL_CREDENTIAL = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/?#@]+:[^\s/?#@]+@"
 
-#: Published credential shapes: fixed values, each with a literal it must contain.
+#: Published credential shapes: fixed values, each with literals one of which it must
+#: contain.
 PREFIXES = (
-    ("A", r"(?U)\b(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}\b"),
-    ("gh", r"(?U)\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
-    ("sk-", r"(?U)\bsk-(?:proj-)?[A-Za-z0-9_\-]{20,}\b"),
-    ("github_pat_", r"(?U)\bgithub_pat_[A-Za-z0-9_]{22,}\b"),
-    ("xox", r"(?U)\bxox[baprs]-[A-Za-z0-9\-]{10,}"),
-    ("xapp-", r"(?U)\bxapp-[0-9]-[A-Za-z0-9\-]{10,}"),
-    ("hooks.slack.com", r"https://hooks\.slack\.com/services/[A-Za-z0-9/_\-]{20,}"),
-    ("AIza", r"(?U)\bAIza[0-9A-Za-z_\-]{35}\b"),
-    ("k_", r"(?U)\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
-    ("npm_", r"(?U)\bnpm_[A-Za-z0-9]{36}\b"),
-    ("SG.", r"(?U)\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}\b"),
-    ("eyJ", r"(?U)\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b"),
-    ("PRIVATE KEY", r"(?s)-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?!-----BEGIN ).)*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
+    (("A3T", "AKIA", "ASIA", "ABIA", "ACCA"), r"(?U)\b(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}\b"),
+    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?U)\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
+    (("sk-",), r"(?U)\bsk-(?:proj-)?[A-Za-z0-9_\-]{20,}\b"),
+    (("github_pat_",), r"(?U)\bgithub_pat_[A-Za-z0-9_]{22,}\b"),
+    (("xox",), r"(?U)\bxox[baprs]-[A-Za-z0-9\-]{10,}"),
+    (("xapp-",), r"(?U)\bxapp-[0-9]-[A-Za-z0-9\-]{10,}"),
+    (("hooks.slack.com",), r"https://hooks\.slack\.com/services/[A-Za-z0-9/_\-]{20,}"),
+    (("AIza",), r"(?U)\bAIza[0-9A-Za-z_\-]{35}\b"),
+    (("sk_", "rk_"), r"(?U)\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
+    (("npm_",), r"(?U)\bnpm_[A-Za-z0-9]{36}\b"),
+    (("SG.",), r"(?U)\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}\b"),
+    (("eyJ",), r"(?U)\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b"),
+    (("PRIVATE KEY",), r"(?s)-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?!-----BEGIN ).)*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 )
 
 MY_NUMBER = rf"(?<!{_D}){_D}{{12}}(?!{_D})"
@@ -72,6 +73,14 @@ GIVEN_NAMES = (
 ).split()
 
 
+def _any(text: Column, literals: tuple[str, ...] | str) -> Column:
+    """Whether the text contains one of a few literals: byte searches, no regex."""
+    out = F.lit(False)
+    for x in literals:
+        out = out | text.contains(x)
+    return out
+
+
 def emails(text: Column) -> Column:
     return spans(text, EMAIL, "email", "regex", text.contains("@"))
 
@@ -81,7 +90,7 @@ def postal_codes(text: Column) -> Column:
 
 
 def prefix_credentials(text: Column) -> Column:
-    return F.concat(*[spans(text, p, "credential", "regex", text.contains(must)) for must, p in PREFIXES])
+    return F.concat(*[spans(text, p, "credential", "regex", _any(text, must)) for must, p in PREFIXES])
 
 
 def url_credentials(text: Column) -> Column:
@@ -128,14 +137,15 @@ def phones(text: Column) -> Column:
 
 
 def addresses(text: Column) -> Column:
-    return spans(text, ADDRESS, "address", "dataDetector", text.rlike("[市区町村郡]"))
+    return spans(text, ADDRESS, "address", "dataDetector", _any(text, "市区町村郡"))
 
 
 def english_names(text: Column, given: tuple[str, ...] | list[str] = tuple(GIVEN_NAMES)) -> Column:
     """A listed given name and one or two capitalised words. A heuristic, not a
     tagger: organisations and places are not looked for."""
-    pattern = r"\b(?:" + "|".join(given) + r")(?: [A-Z]\.)?(?: [A-Z][a-z]+(?:['’-][A-Z][a-z]+)?){1,2}\b"
-    return spans(text, pattern, "personalName", "nameTagger", text.rlike(r"\b(?:" + "|".join(given) + ") [A-Z]"))
+    # the look-ahead spares the list at words in lower case
+    pattern = r"\b(?=\p{Lu})(?:" + "|".join(given) + r")(?: [A-Z]\.)?(?: [A-Z][a-z]+(?:['’-][A-Z][a-z]+)?){1,2}\b"
+    return spans(text, pattern, "personalName", "nameTagger", text.rlike(r"\b(?=\p{Lu})(?:" + "|".join(given) + ") [A-Z]"))
 
 
 #: Names that introduce a credential: the last segment of an ASCII identifier. Inferred
@@ -163,7 +173,8 @@ def named_credentials(text: Column) -> Column:
     found = F.transform(matches(text, NAMED), value)
     # scrubbed already: nothing to read, or one bracketed word
     live = F.filter(found, lambda s: s["text"].rlike(r"[\p{L}\p{N}]") & ~s["text"].rlike(r"^\[.*\]?$"))
-    return F.when(text.rlike(rf"(?i)(?:{_SECRET}|authorization)[\"']?[ \t]*[:=]"), live).otherwise(empty())
+    named = text.rlike(rf"(?:{_SECRET}|(?i:authorization))[\"']?[ \t]*[:=]")
+    return F.when(_any(text, ":=") & named, live).otherwise(empty())
 
 
 def observations(text: Column) -> Column:
