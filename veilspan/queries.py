@@ -20,8 +20,9 @@ from .functions.kinds import FINDING, SPAN
 from .functions.unicode import nfkc
 from .operators import batches, evaluate, lexicon, masking, patterns, reconcile, report, terms
 from .plans import lexicon_jobs, probe
-from .plans.redact import Config, detect, long_findings, mask, with_report
+from .plans.redact import Config, detect, long_findings, mask, mask_with, with_report
 from .plugins import Token, bio_spans, merge_spans
+from .sources import files
 from .streaming.redact_stream import mask_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,6 +679,117 @@ def probe_corpus(spark, sf_dir):
     return evaluate.kind_recall(c, probe.detections(c)).select("kind", "expected", "hit")
 
 
+# Layers with models that are stand-ins
+
+
+class _LineTagger:
+    """Tags the characters of one name, a token per character."""
+
+    cls, sep = 1, 2
+
+    def tokenize(self, line: str) -> list[Token]:
+        return [Token(ord(c), i, i + 1) for i, c in enumerate(line)]
+
+    def predict(self, ids: list[int]) -> list[int]:
+        return [2 if i in (0x4F50, 0x85E4) else 0 for i in ids]
+
+
+def _answering() -> Callable[[str], list[str]]:
+    """Answers a name, grammar, a whole clause and a text that is not there."""
+    return lambda chunk: ["田中健一", "どこ", "担当: 田中", "いない"]
+
+
+def _name_lists() -> lexicon.Names:
+    return lexicon.Names(surname_kanji={"田中", "佐藤"}, given_kanji={"健一"})
+
+
+_KEY = "CAST(c_custkey AS STRING)"
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('担当 [NAME_1] どこ ', {_KEY}, chr(10), 'plain', chr(10), '[NAME_2]さん 田中町') AS masked, 1 AS n_warnings FROM customer")
+def model_layer(spark, sf_dir):
+    """Chunks, answers, plausibility, grounding and further mentions of a name's parts."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat('担当 田中健一 どこ ', {_KEY}, chr(10), 'plain', chr(10), '田中さん 田中町')")
+    out = mask(docs, Config(model=_answering, names=_name_lists()))
+    return out.select("doc_id", "masked", F.size("warnings").alias("n_warnings"))
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat(repeat('あ', 300), '[NAME_1]', repeat('い', 300), chr(10), {_KEY}) AS masked, 1 AS n_warnings FROM customer")
+def tagger_layer(spark, sf_dir):
+    """Windows over a long line, BIO decoding, plausibility."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat(repeat('あ', 300), '佐藤', repeat('い', 300), chr(10), {_KEY})")
+    out = mask(docs, Config(tagger=_LineTagger, names=_name_lists()))
+    return out.select("doc_id", "masked", F.size("warnings").alias("n_warnings"))
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('田中 (03) [PHONE_1] ', {_KEY}) AS masked FROM customer")
+def model_yields_to_phone(spark, sf_dir):
+    """A model's name around a phone number gives way to it."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat('田中 (03) 03-1234-5678 ', {_KEY})")
+    extra = F.array(F.struct(F.lit("personalName").alias("kind"), F.lit("ner").alias("source"), F.lit(0).alias("start"), F.lit(20).alias("len"), F.lit("x").alias("text"), F.lit(None).cast("int").alias("confidence")))
+    return mask(docs.withColumn("more", extra), extra="more").select("doc_id", "masked")
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('[EMAIL_1] 090-1234-5678 ', {_KEY}) AS masked FROM customer")
+def mask_subset(spark, sf_dir):
+    """A caller keeps only some findings."""
+    docs = detect(_planted(spark, sf_dir, "customer", "c_custkey", f"concat('a@b.co 090-1234-5678 ', {_KEY})"))
+    return mask_with(docs.withColumn("findings", F.filter("findings", lambda f: f["kind"] == "email"))).select("doc_id", "masked")
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('t', {_KEY}) AS term FROM customer UNION ALL SELECT c_custkey, 'b c' FROM customer")
+def term_list_parse(spark, sf_dir):
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat(' t', {_KEY}, ' ', chr(13), chr(10), '# no', chr(10), chr(10), 'b c')")
+    return docs.select("doc_id", F.explode(T.term_list(F.col("text"))).alias("term"))
+
+
+_ROMAJI = "concat('ta', CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'naka' WHEN 1 THEN 'kkyun' ELSE 'lx' END, '_', CAST(c_custkey AS STRING))"
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, c_custkey % 3 < 2 AS romaji FROM customer")
+def romaji_names(spark, sf_dir):
+    return _planted(spark, sf_dir, "customer", "c_custkey", _ROMAJI).select("doc_id", T.reads_as_romaji(F.col("text")).alias("romaji"))
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, c_custkey % 2 = 0 AS grammar FROM customer")
+def hiragana_grammar(spark, sf_dir):
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", "CASE WHEN c_custkey % 4 = 0 THEN 'どこ' WHEN c_custkey % 4 = 2 THEN 'のでしょうか' ELSE 'さくら' END")
+    return docs.select("doc_id", T.is_grammar(F.col("text")).alias("grammar"))
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('たなか', {_KEY}) AS text FROM customer")
+def kana_fold(spark, sf_dir):
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat('タナカ', translate({_KEY}, '0123456789', '０１２３４５６７８９'))")
+    return docs.select("doc_id", lexicon_jobs.half_width_digits(lexicon_jobs.hiragana(F.col("text"))).alias("text"))
+
+
+@_query("SELECT CAST(c_custkey AS STRING) AS id, c_custkey % 4 >= 2 AND c_custkey % 2 = 0 AS rejected FROM customer WHERE c_custkey % 7 <> 0")
+def eval_rejected(spark, sf_dir):
+    """Missed names that a filter threw out."""
+    c = _corpus(spark, sf_dir)
+    thrown = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("CAST(c_custkey AS STRING) AS id", "concat('x', c_name, 'y') AS text")
+    out = evaluate.name_outcomes(c, _names(spark, sf_dir), thrown)
+    return out.select("id", F.coalesce(F.col("cause") == "filterRejected", F.lit(False)).alias("rejected"))
+
+
+@_query("SELECT CAST(c_custkey AS STRING) AS id, CAST(71 AS BIGINT) AS start FROM customer")
+def eval_late(spark, sf_dir):
+    """Text in a model chunk after the first."""
+    samples = _table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS id", "concat(repeat('あ', 70), chr(10), repeat('い', 50)) AS text")
+    return evaluate.late_text(samples, 80).select("id", F.col("start").cast("long").alias("start"))
+
+
+@_query("SELECT CAST(c_custkey AS STRING) AS id, c_name AS text, CAST(5 AS BIGINT) AS location FROM customer")
+def detections_round_trip(spark, sf_dir):
+    """Written as the JSON of one system and read again."""
+    names = _table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS id", "c_name AS text", "CAST(5 AS INT) AS location", "CAST(length(c_name) AS INT) AS length")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='veilspan-')}"
+    path = f"{base.rstrip('/')}/detections-{uuid.uuid4().hex}"
+    files.write_detections(names, "x", path)
+    _, back, _ = files.read_detections(spark, path)
+    return back.select("id", "text", F.col("location").cast("long").alias("location"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
