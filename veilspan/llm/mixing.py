@@ -35,7 +35,7 @@ PERIOD = 1000
 #: The driver holds one period for each phase; more sources are an error.
 MAX_SOURCES = 1000
 #: Rows that a numbering group has on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 #: Without given weights, a source weighs its rows to this power.
 TEMPERATURE = 0.5
 
