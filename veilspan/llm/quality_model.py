@@ -208,7 +208,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_sid
                 pa.array([r[a].astype(np.float16).tobytes() for r, a in zip(x, at)], pa.binary()),
             ], ["h", "p", "at", "w"])
 
-    got = rows.select(F.xxhash64("id").alias("h"), "t").mapInArrow(sample, "h long, p double, at binary, w binary").collect()
+    # rows beyond both bounds can't be chosen: their texts are not looked at
+    near = rows.select(F.xxhash64("id").alias("h"), "t").where(F.col("h") <= max(bounds))
+    got = near.mapInArrow(sample, "h long, p double, at binary, w binary").collect()
     chosen = []
     for good in (False, True):
         own = sorted((r for r in got if (r["p"] >= 0.5) == good), key=lambda r: (r["h"], r["at"]))
