@@ -414,6 +414,22 @@ def test_pieces_cross_parts_where_the_vocabulary_does():
     assert flat.tolist() == [4, 5]
 
 
+def test_pieces_long_parts_are_cut_where_no_piece_crosses(monkeypatch):
+    v, rng = small_vocabulary(), random.Random(4)
+    texts = ["".join(rng.choice("abcé") for _ in range(rng.randrange(9))) for _ in range(100)]
+    whole = [pieces.Encoder(v, 4).encode([t])[2:] for t in texts]
+    monkeypatch.setattr(pieces, "LONG", 1)
+    cut = [pieces.Encoder(v, 4).encode([t])[2:] for t in texts]
+    assert [(b, [f["score"] for f in m[0]]) for b, m in whole] == [(b, [f["score"] for f in m[0]]) for b, m in cut]
+    assert max(len(v.parts("▁" + t)) for t in texts) > 2
+
+
+def test_pii_many_entities():
+    text = " ".join(f"user{i}@example.com word{i}" for i in range(20_000))
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and len(pii.contexts(text, spans)) > 200_000
+
+
 def test_pieces_documents(spark, edges, empty):
     v = small_vocabulary()
     out = pieces.encode_documents(edges, vocabulary=v)

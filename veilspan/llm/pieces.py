@@ -74,8 +74,28 @@ class Vocabulary:
         chars = set().union(*self.ids) if self.ids else set()
         cut = "".join(c for c in _CUTS if c not in chars)
         self.part = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + (f"|[{cut}]" if cut else ""))
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self._trie()
 
+    def parts(self, text: str) -> list[str]:
+        """The parts of a normalised text. A long one is cut further wherever no piece
+        has the two characters side by side, so none can cross."""
+        found = self.part.findall(text)
+        if max(map(len, found), default=0) <= LONG:
+            return found
+        out = []
+        for p in found:
+            if len(p) <= LONG:
+                out.append(p)
+                continue
+            at = 0
+            for i in range(1, len(p)):
+                if p[i - 1 : i + 1] not in self.pairs:
+                    out.append(p[at:i])
+                    at = i
+            out.append(p[at:])
+        return out
+
     def _trie(self) -> None:
         edge: dict[int, int] = {}
         piece = [-1]
@@ -340,7 +360,7 @@ class Encoder:
         if len(self.number) > REMEMBER:
             self.fresh()
         known = len(self.number)
-        split = [self.v.part.findall(normalised(t)) for t in texts]
+        split = [self.v.parts(normalised(t)) for t in texts]
         sizes = np.array([len(s) for s in split], np.int64)
         number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if len(self.number) > known:

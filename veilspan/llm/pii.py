@@ -113,39 +113,44 @@ def _value_hash(kind: str, value: str) -> int:
     return int(h[0].astype(np.int64))
 
 
-def contexts(text: str, spans: list[Span], window: int = WINDOW) -> list[dict]:
-    """The terms near each entity: hashes of entity, term and context, and the
-    term's place. A term inside any entity is none."""
+def contexts(text: str, spans: list[Span], window: int = WINDOW) -> np.ndarray:
+    """The terms near each entity, a row each: hashes of entity, term and context, and
+    the term's place. A term inside any entity is none."""
     raw = text.encode()
     flat = np.frombuffer(raw, np.uint8)
     h, _, first = word_hashes(flat, np.array([0, len(raw)]), space=TERM_SPACE)
     if not len(h):
-        return []
+        return _NO_CONTEXT
     # places in code points: bytes that begin a character, counted
     point = np.cumsum((flat & 0xC0) != 0x80) - 1
-    length = np.ones(len(h), np.int64)
     ends = np.flatnonzero(np.append(TERM_SPACE[flat], True))
-    stop = ends[np.searchsorted(ends, first)]
-    start_cp = point[first]
-    stop_cp = np.append(point, point[-1] + 1)[stop]
-    length = stop_cp - start_cp
+    start = point[first]
+    stop = np.append(point, point[-1] + 1)[ends[np.searchsorted(ends, first)]]
     free = np.ones(len(h), bool)
     for _, s, e in spans:
-        a, b = np.searchsorted(stop_cp, s, side="right"), np.searchsorted(start_cp, e)
-        free[a:b] = False
+        free[np.searchsorted(stop, s, side="right") : np.searchsorted(start, e)] = False
+    places = np.flatnonzero(free & (stop - start >= 3))
+    starts = start[places]
     out = []
-    places = np.flatnonzero(free & (length >= 3))
-    starts = start_cp[places]
     for kind, s, e in spans:
-        k = np.searchsorted(starts, s)
+        k = int(np.searchsorted(starts, s))
         near = places[max(0, k - window) : k + window]
-        if not len(near):
-            continue
-        entity = _value_hash(kind, text[s:e])
-        with np.errstate(over="ignore"):
-            ctx = int((splitmix(h[near] + np.arange(len(near), dtype=np.uint64)).sum(dtype=np.uint64)).astype(np.int64))
-        out += [{"e": entity, "t": int(t), "c": ctx, "start": int(a), "end": int(b)} for t, a, b in zip(h[near].astype(np.int64), start_cp[near], stop_cp[near])]
-    return out
+        if len(near):
+            context = splitmix(h[near] + np.arange(len(near), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)
+            one = np.empty((len(near), 5), np.int64)
+            one[:, 0], one[:, 1], one[:, 2], one[:, 3], one[:, 4] = _value_hash(kind, text[s:e]), h[near].astype(np.int64), context, start[near], stop[near]
+            out.append(one)
+    return np.concatenate(out) if out else _NO_CONTEXT
+
+
+_NO_CONTEXT = np.zeros((0, 5), np.int64)
+
+
+def _context_column(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(rows) if rows else _NO_CONTEXT
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    columns = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(5)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_CTX)))
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
@@ -155,8 +160,8 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
             for t in batch.column(2).to_pylist():
                 spans = base_spans(t or "")
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                ctx.append(contexts(t, spans, window) if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(ctx, pa.list_(_CTX))], ["id", "row", "base", "ctx"])
+                ctx.append(contexts(t, spans, window) if spans else _NO_CONTEXT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), _context_column(ctx)], ["id", "row", "base", "ctx"])
 
     return docs.mapInArrow(run, _SCAN)
 
