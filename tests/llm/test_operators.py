@@ -470,12 +470,19 @@ def test_pii_disclosing_terms(spark, edges, empty):
         assert terms == (["Quixotil"] if i < 6 else []), (i, terms)
         clean = pii.redact(text[i], [tuple(b) for b in r["base"]], [(t["start"], t["end"], t["action"]) for t in r["terms"]])
         assert "@" not in clean and "Quixotil" not in clean
+    texts = {r["id"]: r["text"] for r in pii.redact_documents(docs_of(spark, rows), pii.sanitise(docs_of(spark, rows))).collect()}
+    assert len(texts) == len(rows) and not any("@" in t or "Quixotil" in t for t in texts.values()) and texts[50] == text[50]
     # copies of one context are no support
     same = [(i, "Quixotil writes from q@example.com today", "en", "s") for i in range(6)] + rows[6:]
     assert not any(r["terms"] for r in pii.sanitise(docs_of(spark, same)).collect())
     assert pii.sanitise(edges).count() == edges.count() and pii.sanitise(empty).count() == 0
 
 
+def test_redact_takes_the_longest():
+    assert pii.redact("a@b.co Bob x9", [("email", 0, 6)], [(2, 10, "remove"), (7, 10, "generalise"), (11, 13, "generalise")]) == "a@ [CODE]"
+    assert pii.redact("abc", [], []) == "abc"
+
+
 def test_term_counts(spark):
     rows = [(i, f"common common x{i % 3}, Common", "en", "s") for i in range(30)] + [(99, None, "en", "s")]
     assert sorted(r["n"] for r in pii.term_counts(docs_of(spark, rows), "text").collect()) == [10, 10, 10, 30]

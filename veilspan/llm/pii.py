@@ -19,6 +19,7 @@ each task adds up before the shuffle. Contexts are only as many as entities.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,12 +251,31 @@ def redact(text: str, base: list[Span], terms: list[tuple[int, int, str]]) -> st
     """The text with entities replaced by their kind and terms generalised or
     removed. Longer spans win over those they touch."""
     spans = [(s, e, f"[{k.upper()}]") for k, s, e in base] + [(s, e, "" if a == "remove" else shape(text[s:e])) for s, e, a in terms]
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # disjoint, in order
     for s, e, by in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
-        if all(e <= a or b <= s for a, b, _ in taken):
-            taken.append((s, e, by))
+        k = bisect_left(taken, (s, e, by))
+        if (k == 0 or taken[k - 1][1] <= s) and (k == len(taken) or e <= taken[k][0]):
+            taken.insert(k, (s, e, by))
     out, at = [], 0
-    for s, e, by in sorted(taken):
+    for s, e, by in taken:
         out += [text[at:s], by]
         at = e
     return "".join(out) + text[at:]
+
+
+def redact_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text): the texts of docs with what ``sanitise`` found taken out. Rows that
+    repeat an id should repeat its text: they share its spans. Rows without a result,
+    null ids among them, get their base entities only."""
+    spans = found.where("id IS NOT NULL").dropDuplicates(["id"]).select(F.col("id").alias("__id"), "terms")
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
+    joined = texts.join(spans, texts["id"] == spans["__id"], "left").select("id", "t", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            out = []
+            for t, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                out.append(None if t is None else redact(t, base_spans(t), [(x["start"], x["end"], x["action"]) for x in terms or []]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
+
+    return joined.mapInArrow(run, "id long, text string")
