@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import report_order
-from ..functions.spans import occurrences, overlap
+from ..functions.spans import end, occurrences, overlap
 from ..functions.text import japanese_lines, written_script
 from ..functions.unicode import nfkc
 
@@ -140,15 +140,15 @@ def name_outcomes(c: Corpus, detections: DataFrame, rejected: DataFrame | None =
     threw out; late: (id, start, len) of text in a model chunk after the first."""
     names = expected_names(c)
     found = found_names(checked_detections(c.samples, detections))
-    points = names.select("id", "start", "len", "text", F.posexplode(F.split("text", "")).alias("k", "char")).where("char <> ''")
-    needed = points.select("id", "start", "len", (F.col("start") + F.col("k")).alias("at"), (~F.col("char").rlike(r"^(?U)[\s・･]$")).alias("counts"))
-    on = (F.col("p.id") == F.col("f.id")) & (F.col("f.start") <= F.col("p.at")) & (F.col("p.at") < F.col("f.start") + F.col("f.len"))
-    hit = needed.alias("p").join(found.alias("f"), on, "left_semi").select("id", "start", "len", "at").withColumn("hit", F.lit(1))
-    sums = needed.join(hit, ["id", "start", "len", "at"], "left").groupBy("id", "start", "len").agg(
-        F.sum(F.col("counts").cast("int")).alias("need"), F.sum(F.when(F.col("counts"), F.coalesce("hit", F.lit(0))).otherwise(0)).alias("got"), F.sum(F.coalesce("hit", F.lit(0))).alias("any"),
-    )
-    outcome = F.when((F.col("need") > 0) & (F.col("got") == F.col("need")), "covered").when(F.col("any") > 0, "partial").otherwise("missed")
-    out = names.join(sums, ["id", "start", "len"]).withColumn("outcome", outcome).drop("need", "got", "any")
+    # one join: the detections that touch a name, then its characters against them
+    touch = (F.col("n.id") == F.col("f.id")) & overlap(_at("n"), _at("f"))
+    hits = F.collect_list(F.when(F.col("f.start").isNotNull(), F.struct("f.start", "f.len")))
+    rows = names.alias("n").join(found.alias("f"), touch, "left").groupBy("n.id", "n.start", "n.len").agg(F.min("n.text").alias("text"), F.first("n.tags").alias("tags"), hits.alias("hits"))
+    place, letter = F.sequence(F.lit(0), F.col("len") - 1), lambda k: F.substring("text", k + 1, F.lit(1))
+    need = F.filter(place, lambda k: ~letter(k).rlike(r"^(?U)[\s・･]$"))
+    covered = F.forall(need, lambda k: F.exists("hits", lambda h: (h["start"] <= F.col("start") + k) & (F.col("start") + k < end(h))))
+    outcome = F.when((F.size(need) > 0) & covered, "covered").when(F.size("hits") > 0, "partial").otherwise("missed")
+    out = rows.withColumn("outcome", outcome).drop("hits")
     if rejected is not None:
         thrown = out.alias("n").join(rejected.alias("r"), (F.col("n.id") == F.col("r.id")) & F.contains(F.col("r.text"), F.col("n.text")), "left_semi").select("id", "start", "len").withColumn("thrown", F.lit(True))
         out = out.join(thrown, ["id", "start", "len"], "left")
