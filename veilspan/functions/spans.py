@@ -18,6 +18,35 @@ def empty(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once. Named inside a lambda, an expression
+    would run again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def clusters(spans: Column) -> Column:
+    """Spans in order of start, as arrays of those that overlap, directly or through
+    others. What relates spans of a document does so within a cluster, so quadratic
+    steps stay small however many spans there are."""
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["len"]).alias("b"), s["kind"].alias("k"), s.alias("s"))))
+    ordered = F.transform(keyed, lambda x: x["s"])
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = x["start"] < acc["end"]
+        return F.struct(
+            F.when(inside, F.greatest(acc["end"], end(x))).otherwise(end(x)).cast("int").alias("end"),
+            F.when(inside, F.concat(acc["now"], F.array(x))).otherwise(F.array(x)).alias("now"),
+            F.when(inside | (F.size(acc["now"]) == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"),
+        )
+
+    def fold(o: Column) -> Column:
+        none = F.slice(o, F.lit(1), F.lit(0))
+        start = F.struct(F.lit(-1).alias("end"), none.alias("now"), F.slice(F.array(none), F.lit(1), F.lit(0)).alias("out"))
+        return F.aggregate(o, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
+
+    return let(ordered, fold)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(start, text) of all non-overlapping matches. Spark gives the matches and the
     pieces between them; one fold over both, with a cursor, gives the places. The

@@ -5,35 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.kinds import label
-from ..functions.spans import overlap
+from ..functions.kinds import KINDS, label
+from ..functions.spans import clusters, let, overlap
 
 
-def disjoint(findings: Column) -> Column:
-    """Greedy choice: the longest first, then the leftmost; result in that order."""
+def _greedy(findings: Column) -> Column:
     keyed = F.array_sort(F.transform(findings, lambda f: F.struct((-f["len"]).alias("a"), f["start"].alias("b"), f["kind"].alias("k"), f.alias("f"))))
-    ordered = F.transform(keyed, lambda x: x["f"])
-    return F.aggregate(
+    return let(F.transform(keyed, lambda x: x["f"]), lambda ordered: F.aggregate(
         ordered, F.slice(ordered, F.lit(1), F.lit(0)),
         lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))),
-    )
+    ))
+
+
+def disjoint(findings: Column) -> Column:
+    """Greedy choice: the longest first, then the leftmost. Findings only compete with
+    those of their cluster."""
+    return F.flatten(F.transform(clusters(findings), _greedy))
 
 
 def numbered(chosen: Column) -> Column:
     """(start, len, text, kind, placeholder) in reading order. Numbers run per kind in
     order of first appearance; equal texts, compared as bytes, share one."""
     keyed = F.array_sort(F.transform(chosen, lambda f: F.struct(f["start"].alias("a"), f.alias("f"))))
-    ordered = F.transform(keyed, lambda x: x["f"])
 
-    def one(f: Column) -> Column:
-        same = F.transform(F.filter(ordered, lambda g: g["kind"] == f["kind"]), lambda g: g["text"])
-        number = F.array_position(F.array_distinct(same), f["text"])
+    def of(ordered: Column) -> Column:
+        def texts(kind: str) -> Column:
+            return F.array_distinct(F.transform(F.filter(ordered, lambda g: g["kind"] == kind), lambda g: g["text"])).alias(kind)
+
+        return let(F.struct(*[texts(k) for k in KINDS]), lambda lists: F.transform(ordered, lambda f: one(f, lists)))
+
+    def one(f: Column, lists: Column) -> Column:
+        number = F.lit(None).cast("long")
+        for k in KINDS:
+            number = F.when(f["kind"] == k, F.array_position(lists[k], f["text"])).otherwise(number)
         return F.struct(
             f["start"].alias("start"), f["len"].alias("len"), f["text"].alias("text"), f["kind"].alias("kind"),
             F.concat(F.lit("["), label(f["kind"]), F.lit("_"), number.cast("string"), F.lit("]")).alias("placeholder"),
         )
 
-    return F.transform(ordered, one)
+    return let(F.transform(keyed, lambda x: x["f"]), of)
 
 
 def splice(text: Column, replacements: Column) -> Column:
@@ -54,9 +64,13 @@ def replacements(findings: Column) -> Column:
 
 
 def with_placeholder(findings: Column, made: Column) -> Column:
-    """Findings with the placeholder of the replacement of their range, or null."""
-    def one(f: Column) -> Column:
-        hit = F.get(F.filter(made, lambda r: (r["start"] == f["start"]) & (r["len"] == f["len"]) & (r["kind"] == f["kind"])), F.lit(0))
-        return F.struct(*[f[c].alias(c) for c in ("kind", "start", "len", "text", "confidence", "sources")], hit["placeholder"].alias("placeholder"))
+    """Findings with the placeholder of the replacement of their range, or null.
+    Replacements are disjoint, so a range names one."""
+    key = lambda x: F.shiftleft(x["start"].cast("long"), 32) + x["len"]
+    by_range = F.map_from_arrays(F.transform(made, key), F.transform(made, lambda r: F.struct(r["kind"].alias("kind"), r["placeholder"].alias("placeholder"))))
+
+    def one(f: Column, places: Column) -> Column:
+        hit = F.try_element_at(places, key(f))
+        return F.struct(*[f[c].alias(c) for c in ("kind", "start", "len", "text", "confidence", "sources")], F.when(hit["kind"] == f["kind"], hit["placeholder"]).alias("placeholder"))
 
-    return F.transform(findings, one)
+    return let(by_range, lambda places: F.transform(findings, lambda f: one(f, places)))

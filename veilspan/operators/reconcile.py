@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import MODEL_SOURCES, base_confidence, effective_confidence, precedence, promoted
-from ..functions.spans import contains, overlap
+from ..functions.spans import clusters, contains, let, overlap
 
 
 def merge_same_kind(spans: Column) -> Column:
@@ -45,7 +45,7 @@ def drops(other: Column, one: Column) -> Column:
 
 def apply_precedence(findings: Column) -> Column:
     """One pass over all findings: one that is dropped still drops others."""
-    return F.filter(findings, lambda one: ~F.exists(findings, lambda other: drops(other, one)))
+    return let(findings, lambda fs: F.filter(fs, lambda one: ~F.exists(fs, lambda other: drops(other, one))))
 
 
 def reading_order(findings: Column) -> Column:
@@ -55,7 +55,9 @@ def reading_order(findings: Column) -> Column:
 
 
 def reconcile(spans: Column) -> Column:
-    return reading_order(apply_precedence(merge_same_kind(spans)))
+    """All steps, cluster by cluster: spans that don't overlap have no say in each
+    other's fate."""
+    return F.flatten(F.transform(clusters(spans), lambda c: reading_order(apply_precedence(merge_same_kind(c)))))
 
 
 def merge_long(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
