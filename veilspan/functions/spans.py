@@ -24,27 +24,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that a fold appends one by one; longer arrays are folded in blocks, so
+#: that appending, which copies, stays cheap.
+BLOCK = 64
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into arrays of BLOCK elements; of none for an empty one."""
+    return let(values, lambda v: F.transform(
+        F.sequence(F.lit(1), F.size(v) + 1, F.lit(BLOCK)), lambda at: F.slice(v, at, F.lit(BLOCK)),
+    ))
+
+
+def _scan(values: Column, first: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(
+        combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"),
+    ), lambda acc: acc["out"])
+
+
+def prefix(values: Column, zero: int, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element what combine makes of all before it, for an associative
+    combine over integers."""
+    def over(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(zero).cast("int"), lambda a, x: combine(a, x).cast("int")))
+        return F.flatten(F.zip_with(parts, _scan(totals, F.lit(zero), combine), lambda p, base: _scan(p, base, combine)))
+
+    return let(blocks(values), over)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def clusters(spans: Column) -> Column:
     """Spans in order of start, as arrays of those that overlap, directly or through
     others. What relates spans of a document does so within a cluster, so quadratic
     steps stay small however many spans there are."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["len"]).alias("b"), s["kind"].alias("k"), s.alias("s"))))
-    ordered = F.transform(keyed, lambda x: x["s"])
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["start"] < acc["end"]
-        return F.struct(
-            F.when(inside, F.greatest(acc["end"], end(x))).otherwise(end(x)).cast("int").alias("end"),
-            F.when(inside, F.concat(acc["now"], F.array(x))).otherwise(F.array(x)).alias("now"),
-            F.when(inside | (F.size(acc["now"]) == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"),
-        )
 
-    def fold(o: Column) -> Column:
-        none = F.slice(o, F.lit(1), F.lit(0))
-        start = F.struct(F.lit(-1).alias("end"), none.alias("now"), F.slice(F.array(none), F.lit(1), F.lit(0)).alias("out"))
-        return F.aggregate(o, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
+    def cut(ordered: Column) -> Column:
+        # a cluster begins where all before have ended
+        reach = prefix(F.transform(ordered, end), -1, lambda a, b: F.greatest(a, b))
+        begins = F.filter(F.transform(F.arrays_zip(F.transform(ordered, lambda s: s["start"]).alias("s"), reach.alias("r")), lambda x, i: F.when(x["s"] >= x["r"], i)), lambda i: i.isNotNull())
+        return let(begins, lambda heads: F.transform(heads, lambda h, j: F.slice(ordered, h + 1, F.coalesce(F.get(heads, j + 1), F.size(ordered)) - h)))
 
-    return let(ordered, fold)
+    return let(F.transform(keyed, lambda x: x["s"]), cut)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -53,14 +78,14 @@ def matches(text: Column, pattern: str) -> Column:
     pattern must not match the empty string."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, text: string>>").alias("out"))
-    step = lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(F.struct(
-        (acc["at"] + x["gap"] + F.char_length(x["hit"])).cast("int").alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).cast("int").alias("start"), x["hit"].alias("text")))).alias("out"),
-    ))
     # the last piece has no match after it; either side is named once, so it runs once
-    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda p: p["hit"].isNotNull())
+
+    def placed(found: Column) -> Column:
+        before = prefix(F.transform(found, lambda p: p["gap"] + F.char_length(p["hit"])), 0, _add)
+        return F.zip_with(found, before, lambda p, at: F.struct((at + p["gap"]).cast("int").alias("start"), p["hit"].alias("text")))
+
+    return let(pairs, placed)
 
 
 def span(kind: str, source: str, start: Column, text: Column, confidence: Column | None = None) -> Column:
@@ -83,15 +108,16 @@ def spans(text: Column, pattern: str, kind: str, source: str, guard: Column | No
 
 def occurrences(text: Column, needle: Column) -> Column:
     """Starts of all non-overlapping occurrences of a literal; none for an empty one."""
-    pieces = F.transform(F.split(text, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1), lambda x: F.char_length(x))
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = F.transform(F.split(text, quoted, -1), lambda x: F.char_length(x))
     size = F.char_length(needle)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    fold = F.aggregate(
-        pieces, start,
-        lambda acc, g: F.struct((acc["at"] + g + size).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + g).cast("int"))).alias("out")),
-        lambda acc: F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),  # after the last piece there is none
-    )
-    return F.when(size > 0, fold).otherwise(F.array().cast("array<int>"))
+
+    def starts(gaps: Column) -> Column:
+        # after the last piece there is none
+        ends = F.zip_with(gaps, prefix(F.transform(gaps, lambda g: g + size), 0, _add), lambda g, at: (at + g).cast("int"))
+        return F.slice(ends, F.lit(1), F.size(gaps) - 1)
+
+    return F.when(size > 0, let(pieces, starts)).otherwise(F.array().cast("array<int>"))
 
 
 def end(s: Column) -> Column:

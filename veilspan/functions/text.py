@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let, prefix
+
 #: Character ranges, for use inside a character class.
 KANJI = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 KANJI_MARKS = KANJI + "々〆ヶ"
@@ -112,12 +114,11 @@ def written_script(c: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """(offset, text) of every line."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset: int, text: string>>").alias("out"))
-    return F.aggregate(
-        F.split(text, "\n", -1), start,
-        lambda acc, x: F.struct((acc["at"] + F.char_length(x) + 1).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].cast("int").alias("offset"), x.alias("text")))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    def placed(parts: Column) -> Column:
+        before = prefix(F.transform(parts, lambda x: F.char_length(x) + 1), 0, lambda a, b: a + b)
+        return F.zip_with(parts, before, lambda x, at: F.struct(at.alias("offset"), x.alias("text")))
+
+    return let(F.split(text, "\n", -1), placed)
 
 
 def japanese_lines(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.kinds import KINDS, label
-from ..functions.spans import clusters, let, overlap
+from ..functions.spans import blocks, clusters, let, overlap
 
 
 def _greedy(findings: Column) -> Column:
@@ -47,16 +47,33 @@ def numbered(chosen: Column) -> Column:
 
 
 def splice(text: Column, replacements: Column) -> Column:
-    """The text with replacements, which are disjoint and in reading order, put in."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(
-        replacements, start,
-        lambda acc, r: F.struct(
-            (r["start"] + r["len"]).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, r["start"] - acc["at"]), r["placeholder"])).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))),
-    )
+    """The text with replacements, which are disjoint and in reading order, put in. Each
+    block of replacements works on its own stretch of the text, as a substring is
+    found by counting from the start."""
+    def stretch(block: Column, begin: Column, stop: Column) -> Column:
+        piece = F.substring(text, begin + 1, stop - begin)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return let(piece, lambda p: F.aggregate(
+            block, start,
+            lambda acc, r: F.struct(
+                (r["start"] + r["len"] - begin).cast("int").alias("at"),
+                F.concat(acc["out"], F.array(F.substring(p, acc["at"] + 1, r["start"] - begin - acc["at"]), r["placeholder"])).alias("out"),
+            ),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(p, acc["at"] + 1, F.char_length(p))),
+        ))
+
+    def over(parts: Column) -> Column:
+        # a stretch begins with its first replacement; what leads the first is its own
+        begins = F.transform(parts, lambda b, i: F.when((i == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.get(b, F.lit(0))["start"]))
+
+        def joined(heads: Column) -> Column:
+            return F.array_join(F.transform(parts, lambda b, i: stretch(b, F.get(heads, i), F.coalesce(F.get(heads, i + 1), F.char_length(text)))), "")
+
+        return let(begins, joined)
+
+    # blocks() ends with an empty block when the count is a multiple: it has nothing to do
+    filled = F.filter(blocks(replacements), lambda b: F.size(b) > 0)
+    return F.when(F.size(replacements) == 0, text).otherwise(let(filled, over))
 
 
 def replacements(findings: Column) -> Column:
