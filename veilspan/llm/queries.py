@@ -101,5 +101,35 @@ FROM w
 """
 
 
+def _op7_sql() -> str:
+    """The counts by unnesting each text's words; the rules from their table."""
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(quality_rules.STOP_WORDS)))
+    ratio = lambda a, b: f"(CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0 END)"
+    value = {
+        "n_words": "n_words", "repeat_percent": ratio("100.0 * n_repeat_words", "n_words"), "mean_word_length": ratio("word_chars", "n_words"), "symbols_per_word": ratio("n_symbols", "n_words"),
+        "stop_word_ratio": ratio("n_stop_words", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "words_per_line": ratio("n_words", "n_lines"), "letter_ratio": ratio("n_letters", "word_chars"),
+    }
+
+    def fails(rules: tuple[quality_rules.Rule, ...]) -> str:
+        tests = [f"{value[r.measure]} < {r.low}" for r in rules if r.low is not None] + [f"{value[r.measure]} > {r.high}" for r in rules if r.high is not None]
+        return "(" + " OR ".join(tests) + ")"
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^ 	-]')] AS l FROM d),
+     p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+     k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+     c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS q FROM k WHERE n > 1) GROUP BY doc_id),
+     m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len([x for x in w if lower(x) IN ({stop})]) AS n_stop_words,
+                  length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters
+           FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {fails(quality_rules.BASE_RULES)} AS base_failed,
+       NOT {fails(quality_rules.BASE_RULES)} AND NOT {fails(quality_rules.RULES)} AS kept
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3_SQL, "op6_warc": _OP6_SQL}
+    return {"op3_exact_dedup": _OP3_SQL, "op6_warc": _OP6_SQL, "op7_quality_rules": _op7_sql()}
