@@ -43,10 +43,9 @@ FINDING = "struct<kind: string, start: int, len: int, text: string, confidence:
 
 
 def _lookup(values: dict[str, object], key: Column) -> Column:
-    out = F.lit(None)
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """The value of a key in a literal map, null for others."""
+    entries = ", ".join(f"'{k}', {v!r}" for k, v in values.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def precedence(kind: Column) -> Column:

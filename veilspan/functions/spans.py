@@ -72,13 +72,14 @@ def clusters(spans: Column) -> Column:
     return let(F.transform(keyed, lambda x: x["s"]), cut)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(start, text) of all non-overlapping matches. Spark gives the matches and the
-    pieces between them; one fold over both, with a cursor, gives the places. The
-    pattern must not match the empty string."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    # the last piece has no match after it; either side is named once, so it runs once
+def _cut(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The matches of a pattern, and the lengths of the pieces between them."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
+
+
+def _place(hits: Column, gaps: Column) -> Column:
+    """(start, text) of matches, from the pieces between them: a running sum of both.
+    The last piece has no match after it; either side is named once, so it runs once."""
     pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda p: p["hit"].isNotNull())
 
     def placed(found: Column) -> Column:
@@ -88,6 +89,29 @@ def matches(text: Column, pattern: str) -> Column:
     return let(pairs, placed)
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """(start, text) of all non-overlapping matches. Spark gives the matches and the
+    pieces between them but no places. The pattern must not match the empty string."""
+    return _place(*_cut(text, pattern))
+
+
+def spans_of_many(text: Column, patterns: list[tuple[str, str, str, Column]]) -> Column:
+    """Spans of many patterns (kind, source, pattern, guard). What places the matches
+    is one expression for all of them, so that the plan stays small and quick to make."""
+    rows = F.array(*[
+        F.when(guard, F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), hits.alias("hits"), gaps.alias("gaps")))
+        for kind, source, (hits, gaps), guard in ((k, s, _cut(text, p), g) for k, s, p, g in patterns)
+    ])
+
+    def placed(row: Column) -> Column:
+        return F.transform(_place(row["hits"], row["gaps"]), lambda m: F.struct(
+            row["kind"].alias("kind"), row["source"].alias("source"), m["start"].alias("start"), F.char_length(m["text"]).cast("int").alias("len"),
+            m["text"].alias("text"), F.lit(None).cast("int").alias("confidence"),
+        ))
+
+    return F.flatten(F.transform(F.filter(rows, lambda r: r.isNotNull()), placed))
+
+
 def span(kind: str, source: str, start: Column, text: Column, confidence: Column | None = None) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"), F.lit(source).alias("source"), start.cast("int").alias("start"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.kinds import KINDS, label
+from ..functions.kinds import label
 from ..functions.spans import blocks, clusters, let, overlap
 
 
@@ -29,15 +29,14 @@ def numbered(chosen: Column) -> Column:
     keyed = F.array_sort(F.transform(chosen, lambda f: F.struct(f["start"].alias("a"), f.alias("f"))))
 
     def of(ordered: Column) -> Column:
-        def texts(kind: str) -> Column:
-            return F.array_distinct(F.transform(F.filter(ordered, lambda g: g["kind"] == kind), lambda g: g["text"])).alias(kind)
+        def texts(kinds: Column) -> Column:
+            return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.array_distinct(F.transform(F.filter(ordered, lambda g: g["kind"] == k), lambda g: g["text"]))))
 
-        return let(F.struct(*[texts(k) for k in KINDS]), lambda lists: F.transform(ordered, lambda f: one(f, lists)))
+        kinds = F.array_distinct(F.transform(ordered, lambda f: f["kind"]))
+        return let(let(kinds, texts), lambda lists: F.transform(ordered, lambda f: one(f, lists)))
 
     def one(f: Column, lists: Column) -> Column:
-        number = F.lit(None).cast("long")
-        for k in KINDS:
-            number = F.when(f["kind"] == k, F.array_position(lists[k], f["text"])).otherwise(number)
+        number = F.array_position(F.try_element_at(lists, f["kind"]), f["text"])
         return F.struct(
             f["start"].alias("start"), f["len"].alias("len"), f["text"].alias("text"), f["kind"].alias("kind"),
             F.concat(F.lit("["), label(f["kind"]), F.lit("_"), number.cast("string"), F.lit("]")).alias("placeholder"),

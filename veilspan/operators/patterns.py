@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.kinds import LOW, MEDIUM
-from ..functions.spans import empty, matches, overlap, span, spans
+from ..functions.spans import empty, let, matches, overlap, span, spans, spans_of_many
 from ..functions.text import KANJI, ascii_digits
 
 _D = "[0-9０-９]"
@@ -143,9 +143,14 @@ def addresses(text: Column) -> Column:
 def english_names(text: Column, given: tuple[str, ...] | list[str] = tuple(GIVEN_NAMES)) -> Column:
     """A listed given name and one or two capitalised words. A heuristic, not a
     tagger: organisations and places are not looked for."""
+    pattern, guard = _english(text, given)
+    return spans(text, pattern, "personalName", "nameTagger", guard)
+
+
+def _english(text: Column, given: tuple[str, ...] | list[str]) -> tuple[str, Column]:
     # the look-ahead spares the list at words in lower case
-    pattern = r"\b(?=\p{Lu})(?:" + "|".join(given) + r")(?: [A-Z]\.)?(?: [A-Z][a-z]+(?:['’-][A-Z][a-z]+)?){1,2}\b"
-    return spans(text, pattern, "personalName", "nameTagger", text.rlike(r"\b(?=\p{Lu})(?:" + "|".join(given) + ") [A-Z]"))
+    first = r"\b(?=\p{Lu})(?:" + "|".join(given) + ")"
+    return first + r"(?: [A-Z]\.)?(?: [A-Z][a-z]+(?:['’-][A-Z][a-z]+)?){1,2}\b", text.rlike(first + " [A-Z]")
 
 
 #: Names that introduce a credential: the last segment of an ASCII identifier. Inferred
@@ -177,6 +182,26 @@ def named_credentials(text: Column) -> Column:
     return F.when(_any(text, ":=") & named, live).otherwise(empty())
 
 
+def all_spans(text: Column, given: tuple[str, ...] | list[str] = tuple(GIVEN_NAMES)) -> Column:
+    """Spans of every pattern detector, as the functions above give them one by one."""
+    specs = [
+        ("myNumber", "regex", MY_NUMBER, text.rlike(f"{_D}{{12}}")), ("email", "regex", EMAIL, text.contains("@")), ("postalCode", "regex", POSTAL, text.contains("〒")),
+        *[("credential", "regex", p, _any(text, must)) for must, p in PREFIXES],
+        ("phoneNumber", "dataDetector", PHONE, text.rlike(f"{_D}{{3}}")), ("address", "dataDetector", ADDRESS, _any(text, "市区町村郡")),
+    ]
+    if given:
+        specs.append(("personalName", "nameTagger", *_english(text, given)))
+
+    def kept(urls: Column) -> Column:
+        def keep(s: Column) -> Column:
+            inside = (s["kind"] == "email") & F.exists(urls, lambda u: overlap(s, u))
+            return F.when(s["kind"] == "myNumber", my_number_valid(s["text"])).when(s["kind"] == "phoneNumber", phone_plausible(s["text"])).otherwise(~inside)
+
+        return F.concat(F.filter(spans_of_many(text, specs), keep), urls, named_credentials(text))
+
+    return let(url_credentials(text), kept)
+
+
 def observations(text: Column) -> Column:
     """Dates and links: seen for diagnosis, never masked."""
     return F.concat(

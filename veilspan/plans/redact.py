@@ -5,9 +5,11 @@ Without models the plan is one narrow stage of JVM expressions: no shuffle, no P
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,36 @@ class Config:
     given_names: list[str] = field(default_factory=lambda: list(patterns.GIVEN_NAMES))
 
 
-def raw_spans(text: Column, config: Config) -> Column:
-    """All spans of the deterministic detectors, in their fixed order."""
-    parts = [patterns.my_numbers(text), term_spans(text, config.terms), patterns.regex_spans(text), patterns.named_credentials(text), patterns.phones(text), patterns.addresses(text)]
-    if config.given_names:
-        parts.append(patterns.english_names(text, config.given_names))
-    return F.concat(*parts)
+@functools.lru_cache(maxsize=64)
+def _built(gateway: int, make: Callable[..., Column], *args: object) -> Column:
+    return make(*args)
+
+
+def _column(make: Callable[..., Column], *args: object) -> Column:
+    """make(*args), once per JVM: expressions are immutable, and sending a large one over
+    takes longer than planning it. Streams and repeated calls gain most."""
+    return _built(id(SparkContext._gateway), make, *args)
+
+
+def raw_spans(text: str, terms: tuple[str, ...], given_names: tuple[str, ...]) -> Column:
+    """All spans of the deterministic detectors over the column named ``text``."""
+    return F.concat(patterns.all_spans(F.col(text), given_names), term_spans(F.col(text), list(terms)))
+
+
+def _reconciled(spans: str) -> Column:
+    return reconcile(F.col(spans))
+
+
+def _replacements(findings: str) -> Column:
+    return masking.replacements(F.col(findings))
+
+
+def _spliced(text: str, replacements: str) -> Column:
+    return masking.splice(F.col(text), F.col(replacements))
+
+
+def _placeholders(findings: str, replacements: str) -> Column:
+    return masking.with_placeholder(F.col(findings), F.col(replacements))
 
 
 def detect(df: DataFrame, config: Config | None = None, text: str = "text", extra: str | None = None) -> DataFrame:
@@ -48,23 +74,23 @@ def detect(df: DataFrame, config: Config | None = None, text: str = "text", extr
     df = df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = with_tagger(df, config.tagger if config.use_tagger else None, config.names, text_col=text)
     df = with_language_model(df, config.model if config.use_model else None, config.names, text_col=text)
-    spans = [raw_spans(F.col(text), config), F.col("ner_spans"), F.col("model_spans")] + ([F.col(extra)] if extra else [])
+    spans = [_column(raw_spans, text, tuple(config.terms), tuple(config.given_names)), F.col("ner_spans"), F.col("model_spans")] + ([F.col(extra)] if extra else [])
     # apart, so that neither spans nor findings are worked out twice
     df = df.withColumn("__spans", F.concat(*spans))
-    return df.withColumn("findings", reconcile(F.col("__spans"))).drop("__spans", "ner_spans", "model_spans", "model_ungrounded")
+    return df.withColumn("findings", _column(_reconciled, "__spans")).drop("__spans", "ner_spans", "model_spans", "model_ungrounded")
 
 
 def mask_with(df: DataFrame, findings: str = "findings", text: str = "text") -> DataFrame:
     """df with ``masked`` and ``replacements`` for a column of findings, which a caller
     may have filtered."""
-    df = df.withColumn("replacements", masking.replacements(F.col(findings)))
-    return df.withColumn("masked", masking.splice(F.col(text), F.col("replacements")))
+    df = df.withColumn("replacements", _column(_replacements, findings))
+    return df.withColumn("masked", _column(_spliced, text, "replacements"))
 
 
 def mask(df: DataFrame, config: Config | None = None, text: str = "text", extra: str | None = None) -> DataFrame:
     """df with ``masked``, ``findings`` (with placeholders) and ``warnings``."""
     df = mask_with(detect(df, config, text, extra), "findings", text)
-    df = df.withColumn("findings", masking.with_placeholder(F.col("findings"), F.col("replacements")))
+    df = df.withColumn("findings", _column(_placeholders, "findings", "replacements"))
     return df.withColumn("warnings", report.warnings(F.col("model_state"), F.col("ner_state"), F.col("model_failures"))).drop("replacements", "model_failures")
 
 
