@@ -226,6 +226,18 @@ def test_near_dedup_equals_brute_force(spark, task_elements):
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("block", [None, 300])
+def test_near_dedup_finds_copies_among_unlike_texts_with_their_passage(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(near_dedup.open_edges, "__defaults__", (block,))
+    rng = random.Random(16)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = own(80)
+    rows = [(i, f"{own(40)} {passage} {own(60)}") for i in range(2000)] + [(5000, f"{passage} {own(4)}"), (5001, f"{passage} {own(4)}")]
+    out = near_dedup.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r["id"]: r["component_id"] for r in out} == {i: min(i, 5000) for i, _ in rows}
+
+
 def test_near_dedup_edges(edges, empty):
     out = near_dedup.near_dedup(edges).collect()
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in out if r["id"]}

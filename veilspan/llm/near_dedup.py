@@ -4,10 +4,14 @@
    fingerprint of the set and a SetSketch. Equal sets are one class from here on.
 2. Bands of registers hash classes into buckets. In each bucket all members are
    paired with one pivot, its smallest id; those whose joint likelihood leaves no
-   room for the wanted similarity pair with a new pivot among themselves. So a
-   bucket of any size costs its members per round, never all pairs.
-3. Pairs that the likelihood keeps connect classes into groups; a class can only
-   link within its group.
+   room for the wanted similarity pair with a new pivot among themselves, a few
+   rounds long. A round costs a bucket its members.
+3. Pairs that the likelihood keeps connect classes into groups. Buckets whose members
+   are of several groups by then are compared in full, block by block: every two
+   members of different groups whose sizes allow a link. So no two classes that share
+   a bucket and may link are left in different groups, and a class can only link
+   within its group. This part is quadratic in members that share a bucket and are
+   unlike each other, such as texts around one common passage.
 4. Within a group links are confirmed on full sets. Components are what counts, so
    a class already in the main component is compared with the rest only. Groups
    beyond a task's size are cut into blocks: all members are compared with one
@@ -37,8 +41,14 @@ BANDS, ROWS = 32, 4
 #: A pair is let go when its likelihood at the wanted similarity is e^-SLACK of its
 #: best: 18 is about six standard errors.
 SLACK = 18.0
-#: Rounds of pivots for the members of a bucket that the pivots before did not match.
+#: Rounds of pivots for the members of a bucket that the pivots before did not match;
+#: what they leave open is compared in full.
 PIVOT_ROUNDS = 3
+#: Members of a bucket that a step of the full comparison holds on either side.
+BLOCK_MEMBERS = 2048
+#: Similarities that are tried first: a pair whose likelihood is far better at one of
+#: them than at the wanted one needs no search for its best.
+_TRIED = (0.3, 0.45, 0.55)
 #: Elements of the sets that a task compares at once.
 TASK_ELEMENTS = 2_000_000
 #: Member ids are broadcast up to this many (24 bytes each), else joined by a shuffle.
@@ -141,7 +151,7 @@ def candidate_edges(classes: DataFrame, bands: int, rows: int, percent: int, sla
     """(id, p): pairs of classes that share a bucket and may link, a pivot at a time."""
     keyed = band_rows(classes, bands, rows)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    left = materialize(keyed.join(shared, "key").select("key", "id"), "near-buckets")
+    buckets = left = materialize(keyed.join(shared, "key").select("key", "id"), "near-buckets")
     kept: DataFrame | None = None
     for _ in range(rounds):
         pivots = left.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "p")
@@ -152,7 +162,99 @@ def candidate_edges(classes: DataFrame, bands: int, rows: int, percent: int, sla
         left = materialize(facing.join(judged.where("NOT ok").select("id", "p"), ["id", "p"], "left_semi").select("key", "id"), "near-buckets")
         if left.isEmpty():
             break
-    return materialize(kept.distinct(), "near-edges")
+    by_pivots = materialize(kept.distinct(), "near-edges")
+    rest = open_edges(buckets, by_pivots, classes, bands * rows, percent, slack)
+    return materialize(by_pivots.unionByName(rest).distinct(), "near-edges")
+
+
+def _open_pairs(regs: np.ndarray, n: np.ndarray, group: np.ndarray, block: np.ndarray, percent: int, slack: float) -> list[tuple[int, int]]:
+    """Pairs of members of different groups that may link, enough of them to connect
+    all groups that any such pair connects. Where there are two blocks, pairs within
+    one are another step's."""
+    order = np.argsort(n, kind="stable")
+    regs, n, block = np.ascontiguousarray(regs[order].T), n[order], block[order]
+    names, group = np.unique(group[order], return_inverse=True)
+    two, forest, out = block.min() != block.max(), _Forest(len(names)), []
+    # the members from i + 1 to upto[i] are large enough, and not too large for i
+    upto = np.searchsorted(n * percent, n * 100, side="right")
+    total = len(n)
+    at = 0
+    while at < total:
+        to = min(total, at + 64)
+        end = int(upto[to - 1])
+        i, j = np.arange(at, to)[:, None], np.arange(at, end)[None, :]
+        open_ = (j > i) & (j < upto[at:to, None]) & (group[at:to, None] != group[None, at:end])
+        if two:
+            open_ &= block[at:to, None] != block[None, at:end]
+        x, y = np.nonzero(open_)
+        if len(x):
+            if len(x) > 2048:
+                equal, larger = np.zeros(open_.shape, np.uint16), np.zeros(open_.shape, np.uint16)
+                for r in regs:
+                    equal += r[at:to, None] == r[None, at:end]
+                    larger += r[at:to, None] > r[None, at:end]
+                eq, up = equal[x, y].astype(np.int64), larger[x, y].astype(np.int64)
+            else:
+                mine, other = regs[:, x + at], regs[:, y + at]
+                eq, up = (mine == other).sum(axis=0), (mine > other).sum(axis=0)
+            x, y = x + at, y + at
+            counts = (up, len(regs) - eq - up, eq, n[x].astype(float), n[y].astype(float))
+            want = setsketch.log_likelihood(np.full(len(x), percent / 100), *counts)
+            far = np.zeros(len(x), bool)
+            for tried in _TRIED:
+                if tried * 100 < percent:
+                    far |= want < setsketch.log_likelihood(np.full(len(x), tried), *counts) - slack - 1e-6
+            x, y = x[~far], y[~far]
+            if len(x):
+                a, b = regs[:, x].T, regs[:, y].T
+                nu, nv = n[x].astype(float), n[y].astype(float)
+                best, *counts = setsketch.estimate(a, b, nu, nv)
+                room = setsketch.log_likelihood(np.maximum(percent / 100, best), *counts, nu, nv) >= setsketch.log_likelihood(best, *counts, nu, nv) - slack
+                for i, j in zip(x[room].tolist(), y[room].tolist()):
+                    if forest.join(int(group[i]), int(group[j])):
+                        out.append((int(order[i]), int(order[j])))
+        at = to
+    return out
+
+
+def open_edges(buckets: DataFrame, edges: DataFrame, classes: DataFrame, m: int, percent: int, slack: float, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(id, p): what connects members of one bucket that may link and that ``edges``
+    leave in different groups. Large buckets are cut into blocks, and each two blocks
+    are a step of their own."""
+    groups = connected_components(edges.select(F.col("id").alias("a"), F.col("p").alias("b")), "near-open")
+    placed = buckets.join(groups, "id", "left").select("key", "id", F.coalesce("root", "id").alias("g"))
+    # two members that are not connected have faced each other: one was the pivot
+    unsettled = placed.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high AND k > 2")
+    parts = unsettled.select("key", F.ceil(F.col("k") / block_members).cast("long").alias("parts"))
+    own = placed.join(parts, "key").withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = own.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "g")
+    dealt = cells.join(classes.select("id", "n", "regs"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "b", "id", "g", "n", "regs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+            ids = np.asarray(rows.column(4))
+            found = _open_pairs(_matrix(rows.column(7), np.uint16, m), np.asarray(rows.column(6)), np.asarray(rows.column(5)), np.asarray(rows.column(3)), percent, slack)
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], ["id", "p"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+            heads = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist()]
+            if held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != cell[0, k] for k in range(3)):
+                yield pairs(pa.concat_batches(held))
+                held = []
+            for at, to in zip(heads, [*heads[1:], None]):
+                held.append(batch.slice(at, None if to is None else to - at))
+                if to is not None:
+                    yield pairs(pa.concat_batches(held))
+                    held = []
+        if held:
+            yield pairs(pa.concat_batches(held))
+
+    return dealt.mapInArrow(run, "id long, p long")
 
 
 def _set(blob: bytes) -> np.ndarray:
