@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -541,6 +542,21 @@ def test_pfair_plan_equals_simulation():
         assert [got[t] for t in range(len(want))] == want and len(got) == len(want)
 
 
+def test_mix_follows_the_target_weights():
+    rows = {"a": 2_500_000, "b": 750_000, "c": 500_000, "d": 307_500, "e": 195_000}
+    for given in (None, {"a": 1.0, "b": 0.3, "c": 0.2, "d": 0.1, "e": 0.0004}):
+        weights = mixing.target_weights(rows, given)
+        total = sum(map(Fraction, weights.values()))
+        phases = mixing.plan({s: -(-n // 64) for s, n in rows.items()}, weights)
+        used = {s: phases[1].first.get(s, -(-n // 64)) for s, n in rows.items()}
+        slots = {s: phases[0].slot(s, np.arange(k)) for s, k in used.items()}
+        end = sum(used.values())
+        for s, at in slots.items():
+            w, at = Fraction(weights[s]) / total, at.tolist()
+            # just before and just after each block the count is within one of w * t
+            assert all(-1 < j - w * t < 1 and -1 < j + 1 - w * (t + 1) < 1 for j, t in enumerate(at)) and abs(len(at) - w * end) < 1
+
+
 def test_mix(spark, edges, empty):
     rng = random.Random(14)
     rows = [(i, "x", "en", rng.choice(["hot"] * 6 + ["a", "b", None])) for i in range(3000)]

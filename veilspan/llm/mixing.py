@@ -6,10 +6,11 @@ ceil(j/w); of the blocks that may be placed, the one with the earliest deadline
 the slot. With weights that add up to 1 every deadline is met, so after any number t
 of slots a source has had w*t blocks, give or take less than one.
 
-Weights are fractions p/q of one period of q slots, and the schedule repeats every
-period, so the driver simulates one period and every block finds its slot by
-arithmetic. When a source runs out, the others go on with their weights scaled up: a
-new phase with its own period. All rows are placed, each once.
+Weights are taken exactly, as the fractions p/q that the floats are; q is as large as
+that needs. The schedule repeats every q slots, so the driver simulates q slots or those
+of the phase, whichever are fewer: a step and eight bytes a block at most. When a source
+runs out, the others go on with their weights scaled up: a new phase. All rows are
+placed, each once. Callers may give a period q instead; weights are then rounded to it.
 
 Rows are numbered within their source by counting, not by one sort per source: rows
 are dealt to (source, bucket) groups of bounded size, numbered there, and shifted by
@@ -20,6 +21,7 @@ buckets.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -30,9 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_ROWS = 64
-#: Slots of a period; at least four for each source.
-PERIOD = 1000
-#: The driver holds one period for each phase; more sources are an error.
+#: More sources are an error.
 MAX_SOURCES = 1000
 #: Rows that a numbering group has on average.
 BUCKET_ROWS = 4096
@@ -40,8 +40,18 @@ BUCKET_ROWS = 4096
 TEMPERATURE = 0.5
 
 
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Slots of each source in the shortest period that has the weights exactly."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(f.denominator for f in parts.values()))
+    p = {s: int(f * scale) for s, f in parts.items()}
+    common = math.gcd(*p.values())
+    return {s: x // common for s, x in p.items()}
+
+
 def period_shares(weights: dict[str, float], q: int) -> dict[str, int]:
-    """Slots of each source in a period, by largest remainder, one at least."""
+    """Slots of each source in a period of q slots, four for each source at least, by
+    largest remainder, one at least."""
     total = sum(weights.values())
     q = max(q, 4 * len(weights))
     exact = {s: w / total * q for s, w in weights.items()}
@@ -59,8 +69,9 @@ def period_shares(weights: dict[str, float], q: int) -> dict[str, int]:
     return p
 
 
-def edf_period(p: dict[str, int]) -> dict[str, np.ndarray]:
-    """The slots of each source's blocks within one period of sum(p) slots."""
+def edf_period(p: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, np.ndarray]:
+    """The slots of each source's blocks within one period of sum(p) slots, or up to
+    the slot where the first source has had all its ``blocks``."""
     q = sum(p.values())
     names = sorted(p)
     release = lambda s, j: (j - 1) * q // p[s]
@@ -69,7 +80,8 @@ def edf_period(p: dict[str, int]) -> dict[str, np.ndarray]:
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     slots: dict[str, list[int]] = {s: [] for s in names}
-    for t in range(q):
+    t = 0
+    while t < q:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline(s, j), s, j))
@@ -77,6 +89,9 @@ def edf_period(p: dict[str, int]) -> dict[str, np.ndarray]:
         if t >= due:
             raise AssertionError("a deadline is missed: the shares don't add up to the period")
         slots[s].append(t)
+        t += 1
+        if blocks and j == blocks[s]:
+            break
         if j < p[s]:
             heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
     return {s: np.array(v, np.int64) for s, v in slots.items()}
@@ -84,29 +99,44 @@ def edf_period(p: dict[str, int]) -> dict[str, np.ndarray]:
 
 class Phase:
     """Slots from ``start`` on, for the sources that still have blocks: a period's
-    slots and the first block of each."""
+    slots and the first block of each. Where a source's ``blocks`` run out within the
+    period, only the slots up to there are held."""
 
-    def __init__(self, start: int, first: dict[str, int], p: dict[str, int]):
+    def __init__(self, start: int, first: dict[str, int], p: dict[str, int], blocks: dict[str, int]):
         self.start, self.first, self.p, self.q = start, dict(first), p, sum(p.values())
-        self.slots = edf_period(p)
+        self.slots = edf_period(p, blocks)
+        placed = sum(map(len, self.slots.values()))
+        out = [s for s, n in blocks.items() if len(self.slots[s]) == n]
+        #: slots of the phase, where it ends within its first period
+        self.length = placed if out else None
 
     def slot(self, source: str, block: np.ndarray) -> np.ndarray:
         k = block - self.first[source]
+        if self.length is not None:
+            return self.start + self.slots[source][k]
         p = self.p[source]
         return self.start + k // p * self.q + self.slots[source][k % p]
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], q: int = PERIOD) -> list[Phase]:
-    """The phases that place ``blocks`` of each source."""
+def plan(blocks: dict[str, int], weights: dict[str, float], q: int | None = None) -> list[Phase]:
+    """The phases that place ``blocks`` of each source, by the exact weights or, if q is
+    given, by weights rounded to a period of q slots."""
     left = {s: n for s, n in blocks.items() if n > 0}
     first = dict.fromkeys(left, 0)
     phases, start = [], 0
     while left:
-        ph = Phase(start, {s: first[s] for s in left}, period_shares({s: weights[s] for s in left}, q))
-        end = min(int(ph.slot(s, np.array([first[s] + n - 1]))[0]) for s, n in left.items()) + 1
+        own = {s: weights[s] for s in left}
+        ph = Phase(start, {s: first[s] for s in left}, exact_shares(own) if q is None else period_shares(own, q), left)
+        if ph.length is not None:
+            end = start + ph.length
+        else:
+            end = min(int(ph.slot(s, np.array([first[s] + n - 1]))[0]) for s, n in left.items()) + 1
         for s in list(left):
-            whole, rest = divmod(end - start, ph.q)
-            used = whole * ph.p[s] + int(np.searchsorted(ph.slots[s], rest))
+            if ph.length is not None:
+                used = len(ph.slots[s])
+            else:
+                whole, rest = divmod(end - start, ph.q)
+                used = whole * ph.p[s] + int(np.searchsorted(ph.slots[s], rest))
             first[s] += used
             left[s] -= used
             if not left[s]:
@@ -142,7 +172,7 @@ def numbered(docs: DataFrame, rows: dict[str, int], id_col: str, source_col: str
     return ranked.join(offsets, ["source", "bucket"]).select("id", "source", (F.col("offset") + F.col("rn")).alias("nth"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, q: int = PERIOD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, q: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each row of docs: id, source, block, slot, position.
 
     position orders the mixture and is unique; the last block of a source may be
@@ -179,7 +209,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     return numbered(docs, rows, id_col, source_col, bucket_rows).mapInArrow(run, schema)
 
 
-def exact_share(weights: dict[str, float], q: int = PERIOD) -> dict[str, Fraction]:
+def exact_share(weights: dict[str, float], q: int | None = None) -> dict[str, Fraction]:
     """The fractions that the first phase follows."""
-    p = period_shares(weights, q)
+    p = exact_shares(weights) if q is None else period_shares(weights, q)
     return {s: Fraction(x, sum(p.values())) for s, x in p.items()}
