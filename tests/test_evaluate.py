@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from veilspan import cli
 from veilspan.operators import evaluate
@@ -113,6 +114,15 @@ def test_jobs(spark, tmp_path):
     assert [jobs.romaji(k) for k in ("タナカ", "シュンイチ", "ハットリ", "マッチャ")] == ["tanaka", "shunichi", "hattori", "matcha"]
 
 
+def test_generate_draws_from_whole_pools(spark):
+    # more family names than the two million entries that once travelled; the nouns come last
+    many = spark.range(2_000_010).select(F.lit("family").alias("pool"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("surface"))
+    rows = jobs.generate(spark, many.unionByName(spark.createDataFrame([("given", "健一"), ("noun", "会議")], "pool string, surface string")), 300).collect()
+    assert any("会議" in r["text"] for r in rows) and any(r["text"][a:b] != "健一" and r["text"][a:b].startswith("f") for r in rows for a, b in r["spans"])
+    with pytest.raises(ValueError):
+        jobs.generate(spark, many, 10)
+
+
 def test_command_line(capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["--nonsense"])

@@ -6,6 +6,7 @@ A lexicon source is (surface, cost, pos1..pos4, reading), as sources.files reads
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,38 +103,82 @@ TEMPLATES = (
 FORMS = (("{f}{g}", 4), ("{f} {g}", 3), ("{f}", 2), ("{g}", 1))
 
 
+#: Entries that a numbering group has on average.
+BUCKET_ENTRIES = 4096
+
+
+def numbered_pools(pools: DataFrame, sizes: dict[str, int], bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """(pool, nth, surface): entries of each pool from 0, in the order of a hash."""
+    buckets = F.create_map(*[F.lit(x) for pool, n in sizes.items() for x in (pool, max(1, -(-n // bucket_entries)))])
+    keyed = pools.select("pool", "surface", F.xxhash64("surface").alias("h")).withColumn("bucket", F.pmod("h", buckets[F.col("pool")]))
+    counts = keyed.groupBy("pool", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("pool").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("pool", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("pool", "bucket").orderBy("h", "surface")) - 1
+    return keyed.withColumn("rn", rank).join(offsets, ["pool", "bucket"]).select("pool", (F.col("offset") + F.col("rn")).alias("nth"), "surface")
+
+
 def generate(spark: SparkSession, pools: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """(id, text, spans) of n rows with gold spans in code points. A row depends on
-    its number and the seed only, so any partitioning gives the same rows. The pools
-    travel to the workers and are bounded like any worker's lexicon."""
-    lists: dict[str, list[str]] = {"family": [], "given": [], "noun": []}
-    for r in pools.orderBy("pool", "surface").limit(2_000_000).collect():
-        lists[r["pool"]].append(r["surface"])
-
-    def row(i: int) -> tuple[int, str, list[list[int]]]:
+    """(id, text, spans) of n rows, in the order of id, with gold spans in code points.
+    A row depends on its number, the seed and the pools only, so any partitioning gives
+    the same rows. Workers draw numbers of entries, and a join brings the entries: pools
+    of any size are used in full. A pool without entries is an error."""
+    sizes = {r["pool"]: r["n"] for r in pools.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).collect()}
+    missing = [p for p in ("family", "given", "noun") if not sizes.get(p)]
+    if missing:
+        raise ValueError(f"no entries in the pools: {', '.join(missing)}")
+
+    def row(i: int) -> list[tuple[int, int, int, str | None, int | None, str | None]]:
+        """(id, place, number of the person or -1, pool, nth, literal) of each piece."""
         rng = random.Random(seed * 1_000_003 + i)
-        text, spans, rest = "", [], rng.choice(TEMPLATES)
+        out, rest, persons = [], rng.choice(TEMPLATES), 0
+
+        def put(person: int, pool: str | None, nth: int | None, literal: str | None) -> None:
+            out.append((i, len(out), person, pool, nth, literal))
+
         while rest:
             cut = min((rest.find(k) for k in ("{p}", "{n}", "{d}") if k in rest), default=-1)
             if cut < 0:
-                text, rest = text + rest, ""
+                put(-1, None, None, rest)
                 break
-            text, slot, rest = text + rest[:cut], rest[cut : cut + 3], rest[cut + 3 :]
+            put(-1, None, None, rest[:cut])
+            slot, rest = rest[cut : cut + 3], rest[cut + 3 :]
             if slot == "{p}":
                 form = rng.choices([f for f, _ in FORMS], [w for _, w in FORMS])[0]
-                value = form.replace("{f}", rng.choice(lists["family"])).replace("{g}", rng.choice(lists["given"]))
-                spans.append([len(text), len(text) + len(value)])
+                for part in re.split(r"(\{f\}|\{g\})", form):
+                    pool = {"{f}": "family", "{g}": "given"}.get(part)
+                    put(persons, pool, rng.randrange(sizes[pool]) if pool else None, None if pool else part)
+                persons += 1
+            elif slot == "{n}":
+                put(-1, "noun", rng.randrange(sizes["noun"]), None)
             else:
-                value = rng.choice(lists["noun"]) if slot == "{n}" else str(rng.randrange(10_000))
-            text += value
-        return i, text, spans
+                put(-1, None, None, str(rng.randrange(10_000)))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string())
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row(i) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.list_(pa.list_(pa.int32()))))], ["id", "text", "spans"])
+            pieces = [piece for i in batch.column(0).to_pylist() for piece in row(i)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pieces], t) for k, t in enumerate(kinds)], ["id", "place", "person", "pool", "nth", "literal"])
 
-    return spark.range(n).mapInArrow(run, "id long, text string, spans array<array<int>>")
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = [], []
+            for pieces in batch.column(1).to_pylist():
+                text, own = "", {}
+                for x in pieces:
+                    start, text = len(text), text + x["value"]
+                    if x["person"] >= 0:
+                        own[x["person"]] = [own.get(x["person"], [start])[0], len(text)]
+                texts.append(text)
+                spans.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["id", "text", "spans"])
+
+    pieces = spark.range(n).mapInArrow(draw, "id long, place int, person int, pool string, nth long, literal string")
+    filled = pieces.join(numbered_pools(pools, sizes), ["pool", "nth"], "left").select("id", F.struct("place", "person", F.coalesce("surface", "literal").alias("value")).alias("piece"))
+    rows = filled.groupBy("id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return rows.mapInArrow(put_together, "id long, text string, spans array<array<int>>").orderBy("id")
 
 
 def leaks(rows: DataFrame, held: DataFrame) -> DataFrame:
