@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from veilspan import cli
+from veilspan import cli, queries
 from veilspan.operators import evaluate
 from veilspan.plans import lexicon_jobs as jobs
 from veilspan.sources import files
@@ -123,6 +123,15 @@ def test_generate_draws_from_whole_pools(spark):
         jobs.generate(spark, many, 10)
 
 
+def test_training_rows_reports_held_out_names(spark, tmp_path, monkeypatch):
+    spark.range(30).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    counts = lambda: {r["what"]: r["n"] for r in queries.training_rows(spark, str(tmp_path)).collect()}
+    assert counts() == {"leaks": 0, "bad_bounds": 0, "rows": 2000}
+    clean = jobs.name_pools
+    monkeypatch.setattr(jobs, "name_pools", lambda lexicon, held: clean(lexicon, held.where("false")))
+    assert counts()["leaks"] > 0
+
+
 def test_command_line(capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["--nonsense"])

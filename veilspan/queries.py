@@ -644,7 +644,7 @@ def training_rows(spark, sf_dir):
     rows = lexicon_jobs.generate(spark, lexicon_jobs.name_pools(entries, held), 2000)
     count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
     exact = rows.select("spans", "text").where(F.size("spans") > 0)
-    return count(lexicon_jobs.leaks(exact, held.where("false")), "leaks").unionByName(count(lexicon_jobs.bad_bounds(rows), "bad_bounds")).unionByName(count(rows, "rows"))
+    return count(lexicon_jobs.leaks(exact, held), "leaks").unionByName(count(lexicon_jobs.bad_bounds(rows), "bad_bounds")).unionByName(count(rows, "rows"))
 
 
 @_query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'language model disabled; Japanese personal names were looked for by the NER model alone'
