@@ -37,16 +37,18 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ finds them
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
-_ID_WORDS = ("akia", "asia", "key_id", "keyid", "client_id", "clientid", "account_id", "username", "user_id", "access_key")
+_ID_WORDS = ("akia", "asia", "key_id", "keyid", "client_id", "clientid", "account_id", "username", "user_id", "userid", "accountid", "access_key")
 _WEAK_ID = re.compile(
     r"""(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{8,}"""
     r"""|(?ai:(?:access_?)?key_?id|client_?id|account_?id|user_?id|username|access_key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}))"""
 )
-_DENSE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])")
+_DENSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(
     r"""(?ai:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{4,})|(?ai:(?<![a-z0-9_])(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9.-]{3,}"""
     r"""|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![0-9])"""
 )
+_ENDPOINT_WORDS = ("host", "endpoint", "server")
+_PORT = re.compile(r"[0-9]:[0-9]{2}")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[str, int, int]
@@ -74,20 +76,18 @@ def _dense(token: str) -> bool:
 
 
 def weak_parts(text: str, low: str, strong: list[Span]) -> list[Span]:
-    """Weak candidates that no strong span touches. They are looked for only where a
-    credential is possible: a naming key or an access identifier occurs."""
-    named = any(w in low for w in _ASSIGN_WORDS)
-    ids = any(w in low for w in _ID_WORDS)
-    if not (strong or named or ids):
-        return []
+    """Weak candidates that no strong span touches. Each role is looked for behind
+    literals that its pattern needs; ``link`` alone decides what belongs together. Every
+    credential has a secret, so a text without one has no parts."""
     found: list[Span] = []
-    if ids:
-        found += [("weak_id", m.start(), m.end()) for m in _WEAK_ID.finditer(text)]
-    if named:
+    if any(w in low for w in _ASSIGN_WORDS):
         found += [("weak_secret", m.start(), m.end()) for m in _ASSIGN.finditer(text) if 6 <= m.end(2) - m.start(2) < 12]
-    if ids or any(k == "access" for k, _, _ in strong):
-        found += [("weak_secret", m.start(), m.end()) for m in _DENSE.finditer(text) if _dense(m[0])]
-    if named or any(k != "access" for k, _, _ in strong):
+    found += [("weak_secret", m.start(), m.end()) for m in _DENSE.finditer(text) if _dense(m[0])]
+    if not found and not any(k != "access" for k, _, _ in strong):
+        return []
+    if any(w in low for w in _ID_WORDS):
+        found += [("weak_id", m.start(), m.end()) for m in _WEAK_ID.finditer(text)]
+    if "://" in text or any(w in low for w in _ENDPOINT_WORDS) or _PORT.search(text):
         found += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     taken = [(s, e) for _, s, e in strong]
     starts, ends = [s for s, _ in taken], sorted(e for _, e in taken)
