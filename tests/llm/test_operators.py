@@ -500,6 +500,15 @@ def test_pii_disclosing_terms(spark, edges, empty):
     assert pii.sanitise(edges).count() == edges.count() and pii.sanitise(empty).count() == 0
 
 
+def test_pii_footers_of_different_documents_count(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 40, 60) + ("\n" * 2 + " ".join(f"pad{k}" for k in range(9)) + " Quixotil Works q@example.com Lane" if i < 12 else ""), "en", "s") for i in range(300)]
+    out = {r["id"]: r["terms"] for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        found = {t[x["start"] : x["end"]] for x in out[i]}
+        assert {"Quixotil", "Works", "Lane"} <= found if i < 12 else not found
+
+
 def test_redact_takes_the_longest():
     assert pii.redact("a@b.co Bob x9", [("email", 0, 6)], [(2, 10, "remove"), (7, 10, "generalise"), (11, 13, "generalise")]) == "a@ [CODE]"
     assert pii.redact("abc", [], []) == "abc"

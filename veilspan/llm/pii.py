@@ -9,8 +9,9 @@ where the value itself is masked. With documents as events, over all documents:
 
 n(e, t) counts documents with t near e. The share PMI / I, 1 at most, is the
 disclosure; a term at ``generalise`` or above is generalised to its shape, at
-``remove`` or above it is removed. One co-occurrence proves nothing, so a pair needs
-``support`` different contexts; copies of one context count once.
+``remove`` or above it is removed. One co-occurrence proves nothing: a pair counts when
+it is significant, by a Chernoff bound on meeting as often by chance, times the number
+of pairs looked at. For this, documents of equal text count once.
 
 Document frequencies of all terms are counted exactly, with 64-bit term hashes that
 each task adds up before the shuffle. Contexts are only as many as entities.
@@ -18,6 +19,7 @@ each task adds up before the shuffle. Contexts are only as many as entities.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -33,7 +35,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "term")
 #: Terms on either side of an entity that make up its context.
 WINDOW = 8
-SUPPORT = 3
+#: Different texts that a pair needs besides being significant.
+SUPPORT = 1
+#: The chance that any pair of the corpus is taken for significant wrongly, at most.
+SIGNIFICANCE = 0.01
 GENERALISE, REMOVE = 0.85, 0.97
 #: Distinct terms that a task holds before it passes its counts on.
 HOLD = 1 << 20
@@ -105,7 +110,7 @@ def base_spans(text: str) -> list[Span]:
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _CTX = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_SCAN = "id long, row long, base array<struct<kind: string, start: bigint, end: bigint>>, ctx array<struct<e: bigint, t: bigint, c: bigint, start: bigint, end: bigint>>"
+_SCAN = "id long, row long, d long, base array<struct<kind: string, start: bigint, end: bigint>>, ctx array<struct<e: bigint, t: bigint, c: bigint, start: bigint, end: bigint>>"
 
 
 def _value_hash(kind: str, value: str) -> int:
@@ -162,7 +167,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
                 spans = base_spans(t or "")
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 ctx.append(contexts(t, spans, window) if spans else _NO_CONTEXT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), _context_column(ctx)], ["id", "row", "base", "ctx"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(base, pa.list_(_SPAN)), _context_column(ctx)], ["id", "row", "d", "base", "ctx"])
 
     return docs.mapInArrow(run, _SCAN)
 
@@ -207,13 +212,18 @@ def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return parts.groupBy("t").agg(F.sum("n").alias("n"))
 
 
-def disclosure(ctx: DataFrame, counts: DataFrame, total: int, support: int = SUPPORT) -> DataFrame:
-    """(e, t, share) for pairs of entity and term with enough different contexts.
-    ``ctx``: (row, e, t, c), a row per occurrence."""
-    # the contexts of an entity and term are counted by partial sums, hot entities included
-    pairs = ctx.groupBy("e", "t", "c").agg(F.count_distinct("row").alias("docs")).groupBy("e", "t").agg(F.count(F.lit(1)).alias("seen"), F.sum("docs").alias("n_et"))
-    entity = ctx.select("e", "row").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+def disclosure(ctx: DataFrame, counts: DataFrame, total: int, support: int = SUPPORT, significance: float = SIGNIFICANCE) -> DataFrame:
+    """(e, t, share) for the significant pairs of entity and term. ``ctx``: (row, d, e,
+    t), a row per occurrence; d is a hash of the row's text."""
+    each = ctx.select("e", "t", "d", "row").distinct().groupBy("e", "t", "d").agg(F.count(F.lit(1)).alias("docs"))
+    pairs = materialize(each.groupBy("e", "t").agg(F.count(F.lit(1)).alias("seen"), F.sum("docs").alias("n_et")), "pii-pairs")
+    rows = ctx.select("e", "d", "row").distinct().groupBy("e", "d").agg(F.count(F.lit(1)).alias("docs"))
+    entity = rows.groupBy("e").agg(F.sum("docs").alias("n_e"), F.count(F.lit(1)).alias("texts"))
     known = pairs.where(F.col("seen") >= support).join(entity, "e").join(counts, "t")
+    # as many texts by chance: log P <= k - m - k log(k / m), where m are expected
+    expected = F.col("texts") * F.col("n") / F.lit(float(max(total, 1)))
+    chance = F.col("seen") - expected - F.col("seen") * F.log(F.col("seen") / expected)
+    known = known.where((F.col("seen") > expected) & (chance <= F.lit(math.log(significance / max(pairs.count(), 1)))))
     info = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     n_et = F.least("n_et", "n_e", "n")
     pmi = F.log(F.lit(float(max(total, 1))) * n_et / (F.col("n_e") * F.col("n")))
@@ -229,8 +239,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     An empty table gives an empty result.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), docs[text_col].cast("string").alias("t"))
-    found = materialize(_scan(rows, window), "pii-scan")
-    ctx = found.select("row", F.explode("ctx").alias("x")).select("row", "x.*")
+    found = materialize(_scan(rows.withColumn("d", F.xxhash64("t")), window), "pii-scan")
+    ctx = found.select("row", "d", F.explode("ctx").alias("x")).select("row", "d", "x.*")
     flagged = disclosure(ctx, term_counts(docs, text_col), found.count(), support).where(F.col("share") >= generalise)
     spans = (
         ctx.join(flagged, ["e", "t"])
