@@ -227,27 +227,42 @@ def near_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize("task_elements", [2_000_000, 1500])
-def test_near_dedup_equals_brute_force(spark, task_elements):
+@pytest.mark.parametrize(("task_weight", "block"), [(512_000, 2048), (3000, 4)])
+def test_near_dedup_equals_brute_force(spark, task_weight, block):
     rows = near_rows(random.Random(11))
     want, sizes = components_by_force(rows)
-    out = near_dedup.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), task_elements=task_elements).collect()
+    out = near_dedup.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), task_weight=task_weight, block_members=block).collect()
     assert {r["id"]: r["component_id"] for r in out} == want and {r["id"]: r["n_shingles"] for r in out} == sizes
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in out)
 
 
-@pytest.mark.parametrize("block", [None, 300])
-def test_near_dedup_finds_copies_among_unlike_texts_with_their_passage(spark, monkeypatch, block):
-    if block:
-        monkeypatch.setattr(near_dedup.open_edges, "__defaults__", (block,))
+@pytest.mark.parametrize("block", [2048, 30])
+def test_near_dedup_finds_copies_among_unlike_texts_with_their_passage(spark, block):
     rng = random.Random(16)
     own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
     passage = own(80)
     rows = [(i, f"{own(40)} {passage} {own(60)}") for i in range(2000)] + [(5000, f"{passage} {own(4)}"), (5001, f"{passage} {own(4)}")]
-    out = near_dedup.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    out = near_dedup.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), block_members=block).collect()
     assert {r["id"]: r["component_id"] for r in out} == {i: min(i, 5000) for i, _ in rows}
 
 
+@pytest.mark.parametrize(("task_weight", "block"), [(512_000, 2048), (4000, 16)])
+def test_near_dedup_of_windows_and_footers_and_chains(spark, task_weight, block):
+    rng = random.Random(18)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n in (300, 400) * 15:
+        whole = own(n)
+        texts += [" ".join(whole[k : k + n * 78 // 100]) for k in sorted(rng.sample(range(n * 22 // 100), 24))]
+        texts += [" ".join(whole), " ".join(whole + own(n * 24 // 100))]
+    chain = own(2000)
+    texts += [" ".join(chain[k : k + 200]) for k in range(0, 1800, 20)]  # each links to its neighbours only
+    rows = list(enumerate(texts))
+    want, _ = components_by_force(rows)
+    out = near_dedup.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), task_weight=task_weight, block_members=block).collect()
+    assert {r["id"]: r["component_id"] for r in out} == want and len({c for c in want.values()}) < 60
+
+
 def test_near_dedup_edges(edges, empty):
     out = near_dedup.near_dedup(edges).collect()
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in out if r["id"]}

@@ -2,20 +2,19 @@
 
 1. Every text becomes the set of its distinct 5-word shingles (64-bit hashes), a
    fingerprint of the set and a SetSketch. Equal sets are one class from here on.
-2. Bands of registers hash classes into buckets. In each bucket all members are
-   paired with one pivot, its smallest id; those whose joint likelihood leaves no
-   room for the wanted similarity pair with a new pivot among themselves, a few
-   rounds long. A round costs a bucket its members.
-3. Pairs that the likelihood keeps connect classes into groups. Buckets whose members
-   are of several groups by then are compared in full, block by block: every two
-   members of different groups whose sizes allow a link. So no two classes that share
-   a bucket and may link are left in different groups, and a class can only link
-   within its group. This part is quadratic in members that share a bucket and are
-   unlike each other, such as texts around one common passage.
-4. Within a group links are confirmed on full sets. Components are what counts, so
-   a class already in the main component is compared with the rest only. Groups
-   beyond a task's size are cut into blocks: all members are compared with one
-   centre, and those that don't link to it, block by block, with all others.
+2. Bands of registers hash classes into buckets; buckets with the same members are
+   one. The members of a bucket are compared by their registers, block by block: each
+   is paired with the one most alike whose joint likelihood leaves room for the wanted
+   similarity, and further pairs connect whatever such pairs connect. In buckets of
+   several blocks, members outside the largest group then meet all others. So no two
+   classes that share a bucket and may link are left in different groups.
+3. Within a group links are confirmed on full sets. Components are what counts: in
+   small groups every set outside the main component is compared with all others. In
+   large ones the candidate pairs are confirmed first, each by itself, and what is
+   then outside the main component meets all members, in blocks.
+
+Comparing registers within a bucket is quadratic, at two bytes a register. So is
+comparing sets, but only in members that no candidate pair links to their group.
 
 Recall: at similarity s a pair shares one of BANDS buckets with probability
 1 - (1 - s^ROWS)^BANDS, 0.999995 at 0.75. Confirmed links are exact.
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch
@@ -41,16 +40,12 @@ BANDS, ROWS = 32, 4
 #: A pair is let go when its likelihood at the wanted similarity is e^-SLACK of its
 #: best: 18 is about six standard errors.
 SLACK = 18.0
-#: Rounds of pivots for the members of a bucket that the pivots before did not match;
-#: what they leave open is compared in full.
-PIVOT_ROUNDS = 3
-#: Members of a bucket that a step of the full comparison holds on either side.
+#: Members of a bucket that a task compares at once, on either side.
 BLOCK_MEMBERS = 2048
-#: Similarities that are tried first: a pair whose likelihood is far better at one of
-#: them than at the wanted one needs no search for its best.
-_TRIED = (0.3, 0.45, 0.55)
-#: Elements of the sets that a task compares at once.
-TASK_ELEMENTS = 2_000_000
+#: Similarities below the wanted one at which the likelihood of a pair is tried.
+_TRIED = tuple(k / 20 for k in range(2, 20))
+#: Elements of the sets that a task compares at once, and what a set itself counts for.
+TASK_WEIGHT, ROW_WEIGHT = 512_000, 256
 #: Member ids are broadcast up to this many (24 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -128,112 +123,77 @@ def band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, m: int, percent: int, slack: float) -> DataFrame:
-    """(id, p, ok) of pairs (id, p): ok when the sketches leave room for a link."""
+def _room(regs: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, slack: float) -> np.ndarray:
+    """Whether the joint likelihood of members x[k] and y[k] leaves room for the wanted
+    similarity: it is not e^-slack of that at any similarity tried, or less."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 8192):
+        i, j = x[at : at + 8192], y[at : at + 8192]
+        a, b = regs[:, i], regs[:, j]
+        larger, equal = (a > b).sum(axis=0), (a == b).sum(axis=0)
+        counts = (larger, len(regs) - larger - equal, equal, n[i].astype(float), n[j].astype(float))
+        likelihood = lambda tried: setsketch.log_likelihood(np.full(len(i), tried), *counts)  # noqa: B023, E731
+        want = likelihood(percent / 100)
+        # a similarity above the wanted one is a link as well
+        best = np.maximum.reduce([want, *(likelihood(t) for t in _TRIED if t * 100 < percent)])
+        out[at : at + 8192] = want >= best - slack
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                nu, nv = np.asarray(part.column(2), np.float64), np.asarray(part.column(4), np.float64)
-                j, *counts = setsketch.estimate(_matrix(part.column(3), np.uint16, m), _matrix(part.column(5), np.uint16, m), nu, nv)
-                want = np.full(len(j), percent / 100)
-                fits = np.minimum(nu, nv) * 100 >= percent * np.maximum(nu, nv)
-                room = setsketch.log_likelihood(np.maximum(want, j), *counts, nu, nv) >= setsketch.log_likelihood(j, *counts, nu, nv) - slack
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fits & room)], ["id", "p", "ok"])
-
-    side = lambda name, n, regs: classes.select(F.col("id").alias(name), F.col("n").alias(n), F.col("regs").alias(regs))
-    both = pairs.join(side("id", "n1", "r1"), "id").join(side("p", "n2", "r2"), "p").select("id", "p", "n1", "r1", "n2", "r2")
-    return both.mapInArrow(run, "id long, p long, ok boolean")
-
-
-def candidate_edges(classes: DataFrame, bands: int, rows: int, percent: int, slack: float, rounds: int) -> DataFrame:
-    """(id, p): pairs of classes that share a bucket and may link, a pivot at a time."""
-    keyed = band_rows(classes, bands, rows)
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    buckets = left = materialize(keyed.join(shared, "key").select("key", "id"), "near-buckets")
-    kept: DataFrame | None = None
-    for _ in range(rounds):
-        pivots = left.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "p")
-        facing = left.join(pivots, "key").where("id <> p")
-        judged = materialize(likely(facing.select("id", "p").distinct(), classes, bands * rows, percent, slack), "near-judged")
-        good = judged.where("ok").select("id", "p")
-        kept = good if kept is None else kept.unionByName(good)
-        left = materialize(facing.join(judged.where("NOT ok").select("id", "p"), ["id", "p"], "left_semi").select("key", "id"), "near-buckets")
-        if left.isEmpty():
-            break
-    by_pivots = materialize(kept.distinct(), "near-edges")
-    rest = open_edges(buckets, by_pivots, classes, bands * rows, percent, slack)
-    return materialize(by_pivots.unionByName(rest).distinct(), "near-edges")
-
-
-def _open_pairs(regs: np.ndarray, n: np.ndarray, group: np.ndarray, block: np.ndarray, percent: int, slack: float) -> list[tuple[int, int]]:
-    """Pairs of members of different groups that may link, enough of them to connect
-    all groups that any such pair connects. Where there are two blocks, pairs within
-    one are another step's."""
+
+def _cell_pairs(regs: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, percent: int, slack: float) -> list[tuple[int, int]]:
+    """Pairs of members of different groups that may link: for each member the one that
+    looks most alike among those no smaller, and as many more as connect whatever any
+    such pair connects. Where there are two sides, pairs within one don't count."""
     order = np.argsort(n, kind="stable")
-    regs, n, block = np.ascontiguousarray(regs[order].T), n[order], block[order]
+    regs, n, side = np.ascontiguousarray(regs[order].T), n[order], side[order]
     names, group = np.unique(group[order], return_inverse=True)
-    two, forest, out = block.min() != block.max(), _Forest(len(names)), []
+    two, forest, out = bool(side.min() != side.max()), _Forest(len(names)), []
+    # a pair with so few equal registers has no room whatever its sizes: the share of
+    # equal ones is about the similarity, and this is twice the slack and more below
+    m, share = len(regs), np.arange(len(regs) + 1) / len(regs)
+    away = share * np.log(np.maximum(share, 1e-9) / (percent / 100)) + (1 - share) * np.log(np.maximum(1 - share, 1e-9) / (1 - percent / 100)) if percent < 100 else np.zeros(m + 1)
+    few = (share < percent / 100) & (m * away > 2 * slack + 10)
     # the members from i + 1 to upto[i] are large enough, and not too large for i
     upto = np.searchsorted(n * percent, n * 100, side="right")
-    total = len(n)
-    at = 0
+    total, at = len(n), 0
     while at < total:
         to = min(total, at + 64)
         end = int(upto[to - 1])
         i, j = np.arange(at, to)[:, None], np.arange(at, end)[None, :]
-        open_ = (j > i) & (j < upto[at:to, None]) & (group[at:to, None] != group[None, at:end])
+        fit = (j > i) & (j < upto[at:to, None]) & (group[at:to, None] != group[None, at:end])
         if two:
-            open_ &= block[at:to, None] != block[None, at:end]
-        x, y = np.nonzero(open_)
-        if len(x):
-            if len(x) > 2048:
-                equal, larger = np.zeros(open_.shape, np.uint16), np.zeros(open_.shape, np.uint16)
-                for r in regs:
-                    equal += r[at:to, None] == r[None, at:end]
-                    larger += r[at:to, None] > r[None, at:end]
-                eq, up = equal[x, y].astype(np.int64), larger[x, y].astype(np.int64)
-            else:
-                mine, other = regs[:, x + at], regs[:, y + at]
-                eq, up = (mine == other).sum(axis=0), (mine > other).sum(axis=0)
-            x, y = x + at, y + at
-            counts = (up, len(regs) - eq - up, eq, n[x].astype(float), n[y].astype(float))
-            want = setsketch.log_likelihood(np.full(len(x), percent / 100), *counts)
-            far = np.zeros(len(x), bool)
-            for tried in _TRIED:
-                if tried * 100 < percent:
-                    far |= want < setsketch.log_likelihood(np.full(len(x), tried), *counts) - slack - 1e-6
-            x, y = x[~far], y[~far]
-            if len(x):
-                a, b = regs[:, x].T, regs[:, y].T
-                nu, nv = n[x].astype(float), n[y].astype(float)
-                best, *counts = setsketch.estimate(a, b, nu, nv)
-                room = setsketch.log_likelihood(np.maximum(percent / 100, best), *counts, nu, nv) >= setsketch.log_likelihood(best, *counts, nu, nv) - slack
-                for i, j in zip(x[room].tolist(), y[room].tolist()):
-                    if forest.join(int(group[i]), int(group[j])):
-                        out.append((int(order[i]), int(order[j])))
+            fit &= side[at:to, None] != side[None, at:end]
+        if fit.any():
+            equal = np.zeros(fit.shape, np.uint16)
+            for r in regs:
+                equal += r[at:to, None] == r[None, at:end]
+            fit &= ~few[equal]
+            best = np.where(fit, equal + 1, 0).argmax(axis=1)
+            x = np.flatnonzero(fit[np.arange(to - at), best])
+            y = best[x]
+            room = _room(regs, n, x + at, y + at, percent, slack)
+            for u, v in zip((x[room] + at).tolist(), (y[room] + at).tolist()):
+                forest.join(int(group[u]), int(group[v]))
+                out.append((int(order[u]), int(order[v])))
+            now = np.array([forest.root(k) for k in range(len(names))])[group]
+            x, y = np.nonzero(fit & (now[at:to, None] != now[None, at:end]))
+            room = _room(regs, n, x + at, y + at, percent, slack)
+            for u, v in zip((x[room] + at).tolist(), (y[room] + at).tolist()):
+                if forest.join(int(group[u]), int(group[v])):
+                    out.append((int(order[u]), int(order[v])))
         at = to
     return out
 
 
-def open_edges(buckets: DataFrame, edges: DataFrame, classes: DataFrame, m: int, percent: int, slack: float, block_members: int = BLOCK_MEMBERS) -> DataFrame:
-    """(id, p): what connects members of one bucket that may link and that ``edges``
-    leave in different groups. Large buckets are cut into blocks, and each two blocks
-    are a step of their own."""
-    groups = connected_components(edges.select(F.col("id").alias("a"), F.col("p").alias("b")), "near-open")
-    placed = buckets.join(groups, "id", "left").select("key", "id", F.coalesce("root", "id").alias("g"))
-    # two members that are not connected have faced each other: one was the pivot
-    unsettled = placed.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high AND k > 2")
-    parts = unsettled.select("key", F.ceil(F.col("k") / block_members).cast("long").alias("parts"))
-    own = placed.join(parts, "key").withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = own.select("key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "g")
-    dealt = cells.join(classes.select("id", "n", "regs"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "b", "id", "g", "n", "regs")
+def in_cells(cells: DataFrame, classes: DataFrame, m: int, percent: int, slack: float) -> DataFrame:
+    """(id, p): the pairs of ``_cell_pairs`` in every cell. ``cells``: (key, lo, hi, side,
+    id, g); a cell is what shares key, lo and hi."""
+    dealt = cells.join(classes.select("id", "n", "regs"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "id", "g", "n", "regs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
             ids = np.asarray(rows.column(4))
-            found = _open_pairs(_matrix(rows.column(7), np.uint16, m), np.asarray(rows.column(6)), np.asarray(rows.column(5)), np.asarray(rows.column(3)), percent, slack)
+            found = _cell_pairs(_matrix(rows.column(7), np.uint16, m), np.asarray(rows.column(6)), np.asarray(rows.column(5)), np.asarray(rows.column(3)), percent, slack)
             a, b = np.array(found, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], ["id", "p"])
 
@@ -257,6 +217,41 @@ def open_edges(buckets: DataFrame, edges: DataFrame, classes: DataFrame, m: int,
     return dealt.mapInArrow(run, "id long, p long")
 
 
+def candidate_edges(classes: DataFrame, bands: int, rows: int, percent: int, slack: float, block_members: int) -> DataFrame:
+    """(id, p): pairs of classes that share a bucket and may link, enough of them to
+    connect all that such pairs connect."""
+    keyed = band_rows(classes, bands, rows)
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x")).where("k > 1")
+    # buckets with the same members are one
+    shared = several.groupBy("k", "low", "high", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("k") / block_members).cast("long").alias("parts"))
+    zero = F.lit(0).cast("long")
+    block = F.pmod(F.xxhash64("id", "key"), F.col("parts"))
+    buckets = materialize(keyed.join(shared, "key").select("key", "id", "parts", block.alias("b")), "near-buckets")
+    within = buckets.select("key", F.col("b").alias("lo"), F.col("b").alias("hi"), zero.alias("side"), "id", F.col("id").alias("g"))
+    edges = materialize(in_cells(within, classes, bands * rows, percent, slack).distinct(), "near-edges")
+    cut = buckets.where("parts > 1")
+    if cut.isEmpty():
+        return edges
+    return materialize(edges.unionByName(across_blocks(cut, edges, classes, bands * rows, percent, slack, block_members)).distinct(), "near-edges")
+
+
+def across_blocks(cut: DataFrame, edges: DataFrame, classes: DataFrame, m: int, percent: int, slack: float, block_members: int) -> DataFrame:
+    """(id, p) for buckets in several blocks: what connects members that ``edges`` leave
+    in different groups. The members outside a bucket's largest group meet all its
+    members, block by block."""
+    groups = connected_components(edges.select(F.col("id").alias("a"), F.col("p").alias("b")), "near-open")
+    placed = materialize(cut.join(groups, "id", "left").select("key", "id", "parts", "b", F.coalesce("root", "id").alias("g")), "near-placed")
+    counts = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("key").agg(F.max_by("g", F.struct("n", "g")).alias("top"), F.sum("n").alias("k"), F.max("n").alias("most")).where("k > most")
+    open_ = largest.select("key", "top", F.ceil((F.col("k") - F.col("most")) / block_members).cast("long").alias("strays"))
+    facing = placed.join(open_, "key")
+    zero = F.lit(0).cast("long")
+    outside = facing.where("g <> top").withColumn("lo", F.pmod(F.xxhash64("id", "key"), F.col("strays"))).withColumn("hi", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    every = facing.withColumn("lo", F.explode(F.sequence(zero, F.col("strays") - 1))).withColumn("hi", F.col("b"))
+    side = lambda df, k: df.select("key", "lo", "hi", F.lit(k).cast("long").alias("side"), "id", "g")
+    return in_cells(side(outside, 0).unionByName(side(every, 1)), classes, m, percent, slack)
+
+
 def _set(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
@@ -278,32 +273,31 @@ class _Forest:
         return a != b
 
 
-def _linked(sets: list[np.ndarray], percent: int, whole: list[int], forest: _Forest) -> list[tuple[int, int]]:
+def _linked(sets: list[np.ndarray], percent: int, whole: list[int], label: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect sets: each set in ``whole`` is compared with all sets that
-    are not yet in its component. Returns a spanning forest; ``forest`` is joined."""
+    are not yet in its component. Returns a spanning forest; ``label``, the component of
+    each set, is brought up to date."""
     size = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(size)
     heads = ends - size
     tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
     has = np.zeros(len(tokens), np.int32)
     out = []
-    label = np.arange(len(sets))
     for i in whole:
+        rest = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i])))
+        if not len(rest):
+            continue
         own = number[heads[i] : ends[i]]
         has[own] = 1
-        roots = np.array([forest.root(x) for x in range(len(sets))]) if out or i == whole[0] else label
-        label = roots
-        fit = (label != label[i]) & (np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i]))
-        rest = np.flatnonzero(fit)
-        if len(rest):
-            if len(rest) * 4 > len(sets):
-                common = np.add.reduceat(has[number], heads)[rest]
-            else:
-                at = np.repeat(heads[rest] - (np.cumsum(size[rest]) - size[rest]), size[rest]) + np.arange(int(size[rest].sum()))
-                common = np.add.reduceat(has[number[at]], np.cumsum(size[rest]) - size[rest])
-            for j in rest[common * 100 >= percent * (size[i] + size[rest] - common)].tolist():
-                if forest.join(i, j):
-                    out.append((i, j))
+        if len(rest) * 4 > len(sets):
+            common = np.add.reduceat(has[number], heads)[rest]
+        else:
+            at = np.repeat(heads[rest] - (np.cumsum(size[rest]) - size[rest]), size[rest]) + np.arange(int(size[rest].sum()))
+            common = np.add.reduceat(has[number[at]], np.cumsum(size[rest]) - size[rest])
+        for j in rest[common * 100 >= percent * (size[i] + size[rest] - common)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
         has[own] = 0
     return out
 
@@ -311,16 +305,13 @@ def _linked(sets: list[np.ndarray], percent: int, whole: list[int], forest: _For
 def _small_group(percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("links", "descending"), ("id", "ascending")])
-        ids, sets = t["id"].to_pylist(), [_set(b) for b in t["elements"].to_pylist()]
-        forest = _Forest(len(ids))
-        _linked(sets, percent, [0], forest)
-        main = forest.root(0)
-        _linked(sets, percent, [i for i in range(len(ids)) if forest.root(i) != main], forest)
-        least: dict[int, int] = {}
-        for i, x in enumerate(ids):
-            r = forest.root(i)
-            least[r] = min(least.get(r, x), x)
-        return pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array([least[forest.root(i)] for i in range(len(ids))], pa.int64())})
+        ids, sets = np.asarray(t["id"].combine_chunks()), [_set(b) for b in t["elements"].to_pylist()]
+        label = np.arange(len(ids))
+        _linked(sets, percent, [0], label)
+        _linked(sets, percent, np.flatnonzero(label != label[0]).tolist(), label)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        return pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array(least[label], pa.int64())})
 
     return run
 
@@ -331,26 +322,27 @@ def _blocks(percent: int):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         ids = stray["id"].to_pylist() + others["id"].to_pylist()
         sets = [_set(b) for b in stray["elements"].to_pylist() + others["elements"].to_pylist()]
-        links = _linked(sets, percent, list(range(stray.num_rows)), _Forest(len(ids)))
+        label = np.unique(np.array(stray["root"].to_pylist() + others["root"].to_pylist()), return_inverse=True)[1]
+        links = _linked(sets, percent, list(range(stray.num_rows)), label)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     return run
 
 
-def _to_centre(percent: int):
+def _true_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for blob, centre in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = _set(blob), _set(centre)
+            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = _set(one), _set(other)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(common * 100 >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["id", "g", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str, percent: int, task_elements: int) -> DataFrame:
+def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str, percent: int, task_weight: int) -> DataFrame:
     """(id, root) of the classes in candidate groups: the components of true links."""
     groups = connected_components(edges.select(F.col("id").alias("a"), F.col("p").alias("b")), "near-groups")
     links = edges.select(F.explode(F.array("id", "p")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
@@ -372,31 +364,46 @@ def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str
     sets = texts.select("id", "g", "links", "f1", "f2", "t").mapInArrow(run, "id long, g long, links long, elements binary")
     # a repeated row gives its set again
     sets = materialize(sets.dropDuplicates(["id"]), "near-sets")
-    size = members.groupBy("g").agg(F.sum("n").alias("total"), F.max_by("id", F.struct("links", -F.col("id"))).alias("centre"))
-    sized = materialize(size, "near-sizes")
-    small = sets.join(sized.where(F.col("total") <= task_elements), "g", "left_semi")
+    sized = materialize(members.groupBy("g").agg(F.sum(_weight("n")).alias("total")), "near-sizes")
+    small = sets.join(sized.where(F.col("total") <= task_weight), "g", "left_semi")
     done = small.groupBy("g").applyInArrow(_small_group(percent), "id long, root long")
-    large = sized.where(F.col("total") > task_elements)
+    large = sized.where(F.col("total") > task_weight)
     if large.isEmpty():
         return done
-    big = sets.join(large, "g")
-    centre = big.where("id = centre").select("g", F.col("elements").alias("c"))
-    judged = materialize(big.join(centre, "g").select("id", "g", "elements", "c").mapInArrow(_to_centre(percent), "id long, g long, near boolean"), "near-centre")
-    star = judged.join(large, "g").where("near AND id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    # strays are dealt to blocks, and each block of strays meets each block of the group
-    stray = judged.where("NOT near").join(sets, ["id", "g"])
-    parts = F.ceil(F.col("total") * 2 / task_elements).cast("long")
-    stray_parts = stray.join(large, "g").groupBy("g").agg(F.ceil(F.sum(F.octet_length("elements")) / 8 * 2 / task_elements).cast("long").alias("sp"))
-    dealt = lambda df: df.join(large.select("g", parts.alias("ap")), "g").join(stray_parts, "g")
-    own = dealt(stray).withColumn("sb", F.pmod(F.xxhash64("id"), F.col("sp"))).withColumn("ab", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ap") - 1)))
-    all_ = dealt(sets).withColumn("ab", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ap"))).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sp") - 1)))
+    return done.unionByName(in_blocks(sets, members, large, edges, percent, task_weight))
+
+
+def _weight(n: str) -> Column:
+    """What a set costs a task: its elements, and as much for itself as ROW_WEIGHT."""
+    return F.col(n) + F.lit(ROW_WEIGHT)
+
+
+def in_blocks(sets: DataFrame, members: DataFrame, large: DataFrame, edges: DataFrame, percent: int, task_weight: int) -> DataFrame:
+    """(id, root) within the groups ``large``: first the candidate edges are confirmed,
+    pair by pair; then the members outside a group's main component, block by block,
+    meet all members of the group."""
+    big = materialize(members.join(large, "g").select("id", "g", "n", "total"), "near-big")
+    elements = sets.join(big.select("id"), "id", "left_semi").select("id", "elements")
+    first = edges.join(elements, "id").select("id", "p", F.col("elements").alias("x"))
+    both = first.join(elements.select(F.col("id").alias("p"), F.col("elements").alias("y")), "p").select("id", "p", "x", "y")
+    linked = materialize(both.mapInArrow(_true_links(percent), "a long, b long"), "near-linked")
+    placed = materialize(big.join(connected_components(linked, "near-tree"), "id", "left").select("id", "g", "n", "total", F.coalesce("root", "id").alias("root")), "near-placed")
+    counts = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k"), F.sum(_weight("n")).alias("w"))
+    main = counts.groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max_by("w", F.struct("k", "root")).alias("own"))
+    # several blocks at least, so that a group is never one task's, and no more than needed beyond
+    parts = lambda w: F.greatest(F.lit(1), F.ceil(w / (4 * task_weight)), F.least(F.lit(8), F.ceil(w * 4 / task_weight))).cast("long")
+    facing = placed.join(main, "g").withColumn("ap", parts(F.col("total"))).withColumn("sp", parts(F.col("total") - F.col("own")))
+    zero = F.lit(0).cast("long")
+    own = facing.where("root <> main").withColumn("sb", F.pmod(F.xxhash64("id"), F.col("sp"))).withColumn("ab", F.explode(F.sequence(zero, F.col("ap") - 1)))
+    every = facing.where("total > own").withColumn("ab", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ap"))).withColumn("sb", F.explode(F.sequence(zero, F.col("sp") - 1)))
     keys = ["g", "sb", "ab"]
-    columns = [*keys, "id", "elements"]
-    met = own.select(*columns).toDF(*columns).groupBy(*keys).cogroup(all_.select(*columns).toDF(*columns).groupBy(*keys)).applyInArrow(_blocks(percent), "a long, b long")
-    return done.unionByName(connected_components(star.unionByName(met), "near-large"))
+    columns = [*keys, "id", "root", "elements"]
+    deal = lambda df: df.join(elements, "id").select(*columns).toDF(*columns).groupBy(*keys)
+    met = deal(own).cogroup(deal(every)).applyInArrow(_blocks(percent), "a long, b long")
+    return connected_components(linked.unionByName(met), "near-large")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, rounds: int = PIVOT_ROUNDS, task_elements: int = TASK_ELEMENTS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, block_members: int = BLOCK_MEMBERS, task_weight: int = TASK_WEIGHT) -> DataFrame:
     """A row for each row of docs: id, n_shingles, component_id, kept.
 
     component_id is the smallest id that links reach, the row's own included; kept
@@ -409,8 +416,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_rows = materialize(sketched(docs, id_col, text_col, bands * rows), "near-sketches")
     full = all_rows.where("n > 0 AND id IS NOT NULL")
     classes = materialize(full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "regs")).alias("x")).select("f1", "f2", "n", "x.id", "x.regs"), "near-classes")
-    edges = candidate_edges(classes, bands, rows, percent, slack, rounds)
-    roots = confirmed(docs, classes, edges, id_col, text_col, percent, task_elements)
+    edges = candidate_edges(classes, bands, rows, percent, slack, block_members)
+    roots = confirmed(docs, classes, edges, id_col, text_col, percent, task_weight)
     named = classes.select("f1", "f2", "n", F.col("id").alias("class")).join(roots.select(F.col("id").alias("class"), "root"), "class", "left").select("f1", "f2", "n", F.coalesce("root", "class").alias("component"))
     out = all_rows.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
