@@ -11,7 +11,8 @@ parts of a batch at once in numpy, and give each part's best score and its gap t
 second best. A text's n best segmentations can only differ from its best one in the
 n - 1 parts with the smallest gaps (any other part costs as much as n - 1 cheaper
 choices), so A* runs on these alone and their results are merged. Nothing is cut or
-approximated; texts without spaces are one part.
+approximated; texts without spaces are one part. A long part costs n steps a place, equal
+scores or not.
 
 The vocabulary is a parameter and never part of the package. Normalisation is the
 identity with a dummy prefix space, as in byte-fallback vocabularies, so decoding
@@ -58,6 +59,7 @@ class Vocabulary:
         usual = [s for s in self.scores.values() if s > -1e8]
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids), default=1)
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
         size = max([unk_id, *byte_ids, *self.ids.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
         for p, i in self.ids.items():
@@ -164,8 +166,10 @@ def normalised(text: str) -> str:
 
 
 def nbest(v: Vocabulary, part: str, n: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations of a part, best first, as (score, ids). Equal scores
-    come in the order that the search meets them, which is always the same."""
+    """The n best segmentations of a part, best first, as (score, ids). Of equal scores
+    the search takes the one that is furthest on, then in the order that it meets them,
+    which is always the same. A place is left n times at most, as n paths from it to the
+    end are enough, so a part costs n steps a place whatever repeats in it."""
     size = len(part)
     into: list[list[tuple[int, float, object]]] = [[] for _ in range(size + 1)]
     forward = [0.0] + [float("-inf")] * size
@@ -179,25 +183,33 @@ def nbest(v: Vocabulary, part: str, n: int) -> list[tuple[float, list[int]]]:
                 into[i + k].append((i, s, p))
                 if base + s > forward[i + k]:
                     forward[i + k] = base + s
+            elif p not in v.prefixes:
+                break
         if not spelt:
             into[i + 1].append((i, v.unknown, None))
             if base + v.unknown > forward[i + 1]:
                 forward[i + 1] = base + v.unknown
-    found, tick = [], 0
-    queue: list = [(-forward[size], 0, 0.0, size, None)]
+    found, tick, left = [], 0, [0] * (size + 1)
+    slack = 1e-9 * max(1.0, abs(forward[size]))
+    queue: list = [(-forward[size], size, 0, 0.0, None)]
     while queue and len(found) < n:
-        f, _, g, at, path = heapq.heappop(queue)
+        f, at, _, g, path = heapq.heappop(queue)
         if at == 0:
             ids, start, node = [], 0, path
             while node:
                 end, p, node = node
                 ids += v.spell(part[start]) if p is None else [v.ids[p]]
                 start = end
-            found.append((-f, ids))
+            found.append((g, ids))
+            continue
+        left[at] += 1
+        if left[at] > n:
             continue
         for start, s, p in into[at]:
             tick += 1
-            heapq.heappush(queue, (-(g + s + forward[start]), tick, g + s, start, (at, p, path)))
+            cost = -(g + s + forward[start])
+            # sums in another order differ in the last digits: that is no difference
+            heapq.heappush(queue, (f if cost - f < slack else cost, start, tick, g + s, (at, p, path)))
     return found
 
 
@@ -331,9 +343,10 @@ class Encoder:
             long = {}
             for k, p in enumerate(parts):
                 if len(p) > LONG:
-                    two = nbest(v, p, 2)
-                    best[k], gap[k] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
-                    long[k], count[k] = two[0][1], len(two[0][1])
+                    ways = nbest(v, p, max(2, self.n))
+                    self.several[len(self.score) + k] = ways[: self.n]
+                    best[k], gap[k] = ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else np.inf
+                    long[k], count[k] = ways[0][1], len(ways[0][1])
             first, some = np.cumsum(count) - count, flat
             flat = np.empty(int(count.sum()), np.int32)
             if short:

@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,14 +96,17 @@ def weak_parts(text: str, low: str, strong: list[Span]) -> list[Span]:
     return sorted(set(free), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-#: The part that a kind plays, and the parts that complete it.
-_ROLE = {"access": "id", "weak_id": "id", "assign": "secret", "hex": "secret", "weak_secret": "secret", "endpoint": "endpoint"}
-_NEEDS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
+#: The part that a kind plays, and the parts that complete it. A hex run that nothing
+#: names is a secret beside an identifier, but not beside an address: commits and
+#: checksums stand next to links.
+_ROLE = {"access": "id", "weak_id": "id", "assign": "secret", "hex": "bare", "weak_secret": "secret", "endpoint": "endpoint"}
+_NEEDS = {"id": ("secret", "bare"), "secret": ("id", "endpoint"), "bare": ("id",), "endpoint": ("secret",)}
 
 
 def link(text: str, strong: list[Span], weak: list[Span], reach: int = REACH) -> tuple[list[Span], list[tuple[int, int]]]:
     """All spans to report, and for each part its nearest complement in the same
-    scope as a pair of positions in that list. Scopes end at blank lines."""
+    scope as a pair of positions in that list. Scopes end at blank lines. The nearest is
+    the first that starts no earlier, or of those before the one that ends last."""
     if not weak:
         return strong, []
     cuts = [m.start() for m in _BLANK.finditer(text)]
@@ -111,19 +115,22 @@ def link(text: str, strong: list[Span], weak: list[Span], reach: int = REACH) ->
     for i, (kind, start, _) in enumerate(parts):
         by_role.setdefault((_ROLE[kind], bisect_right(cuts, start)), []).append(i)
     starts = {k: [parts[i][1] for i in v] for k, v in by_role.items()}
+    furthest = {k: list(accumulate(v, lambda a, b: b if parts[b][2] > parts[a][2] else a)) for k, v in by_role.items()}
     near: dict[int, int] = {}
     for i, (kind, start, end) in enumerate(parts):
         scope, best = bisect_right(cuts, start), None
         for role in _NEEDS[_ROLE[kind]]:
-            at = bisect_left(starts.get((role, scope), ()), start)
-            for j in by_role.get((role, scope), [])[max(0, at - 1) : at + 1]:
+            key = (role, scope)
+            if key not in by_role:
+                continue
+            at = bisect_left(starts[key], start)
+            for j in ([furthest[key][at - 1]] if at else []) + by_role[key][at : at + 1]:
                 gap = max(parts[j][1] - end, start - parts[j][2], 0)
                 if gap <= reach and (best is None or gap < best[0]):
                     best = (gap, j)
         if best:
             near[i] = best[1]
     strong_at = set(strong)
-    # a hex run is no secret for an endpoint unless something names it: links need a key or an id
     kept = [i for i, p in enumerate(parts) if p in strong_at or i in near]
     new = {old: k for k, old in enumerate(kept)}
     return [parts[i] for i in kept], [(new[i], new[j]) for i, j in near.items() if i in new and j in new]
