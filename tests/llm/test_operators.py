@@ -163,6 +163,42 @@ def test_language_ignores_labels_of_held_out_rows(spark):
     assert a == b
 
 
+def test_language_of_many_labels_and_repeated_ids(spark):
+    rng = random.Random(20)
+    rows = [(i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 30, f"l{k}", "s") for i in range(1500) for k in [rng.randrange(300)]]
+    model = language_id.fit(docs_of(spark, rows))
+    assert len({n for m in model.members.values() for n in m}) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5})
+    repeated = docs_of(spark, [(1, f"text {i % 7}", "en", "s") for i in range(3000)] + labelled(rng, 50))
+    assert language_id.fit(repeated, per_language=5).families
+    assert not language_id.has_letter("½²③ 12") and language_id.has_letter("1é") and language_id.has_letter("ᚠ") and not language_id.has_letter(None)
+    with pytest.raises(ValueError):
+        language_id.fit(docs_of(spark, [(i, "x", f"l{i}", "s") for i in range(1200)]))
+
+
+def test_language_predictions_are_those_of_the_weights(spark):
+    """By plain loops over the trigrams."""
+    rows = labelled(random.Random(1), 120)
+    docs = docs_of(spark, rows)
+    model = language_id.fit(docs)
+    got = {r["id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    for i, t, *_ in rows:
+        raw = t.encode().lower()
+        x = np.zeros(language_id.BUCKETS)
+        padded = raw + b"  "
+        for k in range(len(raw)):
+            x[(int.from_bytes(padded[k : k + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language_id.BUCKET_BITS)] += 1
+        x = np.sqrt(x) / np.sqrt(x.sum())
+        family = model.families[int(np.argmax([1 / (1 + np.exp(-2 * (w[:-1] @ x + w[-1]))) for w in model.family_w]))]
+        names = model.members[family]
+        won = dict.fromkeys(names, 0.0)
+        for a, b in itertools.combinations(range(len(names)), 2):
+            w = model.pair_w[family, a, b]
+            p = 1 / (1 + np.exp(-2 * (w[:-1] @ x + w[-1])))
+            won[names[a]] += p
+            won[names[b]] += 1 - p
+        assert got[i] == max(names, key=won.get)
+
+
 def test_language_edges(edges, empty):
     out = language_id.language_id(edges).collect()
     assert len(out) == edges.count() and {r["lang_pred"] for r in out if r["id"] in (1, 2, 3)} == {"und"}
@@ -345,6 +381,25 @@ def test_quality_model_separates(spark, edges, empty):
     assert quality_model.quality_model(edges).count() == edges.count() and quality_model.quality_model(empty).count() == 0
 
 
+def test_quality_scorer_decides_but_for_short_texts(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("the of and house river walks".split()) for _ in range(80)) + ".", "en", "s") for i in range(60)] + [(100 + i, " ".join(f"w{rng.randrange(99)}%%%" for _ in range(80)), "en", "s") for i in range(30)]
+    rows += [(None, "the of and house.", "en", "s")] * 500 + [(900, "Fine.", "en", "s"), (901, "the of and house walks. " * 20, "en", "s")] + [(7, rows[7][1], "en", "s")] * 300
+    docs = docs_of(spark, rows)
+    model, weights = quality_model.fit(docs, per_side=50)
+    out = quality_model.score(docs, model, weights).collect()
+    text = {i: t for i, t, *_ in rows}
+    for r in out:
+        v = quality_model.votes(pa.array([text[r["id"]]]))
+        x = quality_model.profiles(pa.array([text[r["id"]]]), fold=False)[0]
+        score = 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))
+        assert abs(score - r["score"]) < 1e-5 and abs(model.posterior(v)[0] - r["posterior"]) < 1e-9 and r["votes"] == "".join("-0+"[k + 1] for k in v[0])
+        short = len(WORDS.findall(text[r["id"]])) < quality_model.SHORT and not (v < 0).any()
+        assert r["kept"] == (r["score"] >= 0.5 or short)
+    # a text without an objection is rejected when its score is low
+    assert not any(r["kept"] for r in quality_model.score(docs.where("doc_id = 901"), model, np.append(np.zeros(quality_model.BUCKETS, np.float32), np.float32(-1))).collect())
+
+
 # 6 WARC
 
 
@@ -467,7 +522,7 @@ def test_pieces_n_best(monkeypatch, long):
 
 
 def test_pieces_equal_scores_stay_fast():
-    v = pieces.Vocabulary([(3 + k, "a" * (k + 1), -1.0 * (k + 1)) for k in range(8)] + [(20, "b", -0.1), (21, "bb", -0.2)], list(range(30, 286)))
+    v = pieces.Vocabulary([(3 + k, "a" * (k + 1), -1.0 * (k + 1)) for k in range(8)] + [(20, "b", -0.1), (21, "bb", -0.2), (22, "ab", -1.1)], list(range(30, 286)))
     for t in ("a" * 20_000, "b" * 20_000, "ab" * 10_000):
         began = time.perf_counter()
         ways = pieces.nbest(v, t, 4)
@@ -620,6 +675,21 @@ def test_mix_follows_the_target_weights():
             assert all(-1 < j - w * t < 1 and -1 < j + 1 - w * (t + 1) < 1 for j, t in enumerate(at)) and abs(len(at) - w * end) < 1
 
 
+def test_mix_weights_of_nothing_come_last():
+    phases = mixing.plan({"a": 5, "b": 7, "c": 3}, mixing.target_weights({"a": 1, "b": 1, "c": 1}, {"a": 1.0, "b": 0.0, "c": 2.0}))
+    slots = {s: sorted(int(x) for ph, after in zip(phases, [*phases[1:], None]) if s in ph.first for x in ph.slot(s, np.arange(ph.first[s], after.first.get(s, n) if after and s in after.first else n))) for s, n in (("a", 5), ("b", 7), ("c", 3))}
+    assert slots["b"] == list(range(8, 15)) and sorted(slots["a"] + slots["c"]) == list(range(8))
+    for bad in ({"a": -1.0}, {"a": 0.0}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            mixing.target_weights({"a": 1}, bad)
+
+
+def test_mix_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
+    out = mixing.mix(docs_of(spark, [(i, "x", "en", "ab"[i % 3 == 0]) for i in range(2000)])).collect()
+    assert len({r["position"] for r in out}) == 2000 and len({r["slot"] for r in out}) <= 12
+
+
 def test_mix(spark, edges, empty):
     rng = random.Random(14)
     rows = [(i, "x", "en", rng.choice(["hot"] * 6 + ["a", "b", None])) for i in range(3000)]
@@ -636,6 +706,9 @@ def test_mix(spark, edges, empty):
     for t, s in order[: first_out + 1]:
         seen[s] += 1
         assert all(abs(seen[x] - share[x] * (t + 1)) < 1 for x in share)
+    # ids don't matter: null and repeated ones spread over the groups like others
+    same = mixing.mix(docs_of(spark, [(None if i % 2 else 5, "x", "en", "hot") for i in range(500)]), bucket_rows=20).collect()
+    assert sorted(r["position"] for r in same) == list(range(500))
     assert mixing.mix(edges).count() == edges.count() and mixing.mix(empty).count() == 0
 
 

@@ -22,10 +22,11 @@ from .common import LOWER, flat_utf8, slices
 
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
-#: Labelled documents per language that a fit uses at most (documented bound), and
-#: languages at most, the most frequent first.
-PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+#: Labelled documents per language and of all languages that a fit uses at most
+#: (documented bounds): with many languages each has fewer, and none is left out.
+PER_LANGUAGE, LABELLED = 400, 16_000
+#: More distinct labels are an error: they are no languages.
+MAX_LANGUAGES = 800
 UNDETERMINED = "und"
 _ROWS = 512
 
@@ -41,7 +42,12 @@ FAMILIES = {
     "semitic": ("ar", "he"),
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a text is a letter by its Unicode category."""
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def profiles(col: pa.Array, fold: bool = True) -> np.ndarray:
@@ -67,9 +73,9 @@ def profiles(col: pa.Array, fold: bool = True) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, lam: float = 1e-4, epochs: int = 30, batch: int = 32) -> np.ndarray:
     """Weights of a linear SVM with hinge loss and a bias in the last place, by
-    averaged mini-batch subgradient steps. y is +1 or -1; the classes weigh the same."""
+    averaged mini-batch subgradient steps. y is +1 or -1; the classes weigh the same.
+    x is read a batch at a time and never copied."""
     n, d = x.shape
-    x = np.hstack([x, np.ones((n, 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * n
     w, mean, t = np.zeros(d + 1), np.zeros(d + 1), 0
     rng = np.random.default_rng(7)
@@ -79,10 +85,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, lam: float = 1e-4, epochs: int = 30, b
             k = order[at : at + batch]
             t += 1
             step = 1 / (lam * (t + 1000))
-            wrong = y[k] * (x[k] @ w) < 1
+            part = x[k]
+            wrong = y[k] * (part @ w[:-1] + w[-1]) < 1
             w *= 1 - lam * step
             if wrong.any():
-                w += step / len(k) * ((weight[k] * y[k] * wrong) @ x[k])
+                push = step / len(k) * (weight[k] * y[k] * wrong)
+                w[:-1] += push @ part
+                w[-1] += push.sum()
             mean += (w - mean) / t
     return mean.astype(np.float32)
 
@@ -146,15 +155,21 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, labelled: int = LABELLED) -> Model:
     """Fit on labelled rows whose crc32 of the id, as text, mod 5 is not 0. At most
-    ``per_language`` rows of each language are used, those with the smallest hashes
-    of id; the driver receives their sparse profiles, which has that bound."""
+    ``per_language`` rows of each language and ``labelled`` of all are used, those with
+    the smallest hashes of id, one row for each id; the driver receives their sparse
+    profiles, which has that bound however often an id is repeated. More than
+    MAX_LANGUAGES labels are an error."""
     key = docs[id_col].cast("long")
     usable = docs.select(
         F.xxhash64(key).alias("h"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("t"), key.alias("id"), held_out(key).alias("out"),
     ).where("id IS NOT NULL AND lang IS NOT NULL AND NOT out")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("count")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in {lang_col}")
+    if counts:
+        per_language = max(1, min(per_language, labelled // len(counts)))
     # a hash threshold per language, a little high, then the exact bound on the driver
     bound = {r["lang"]: min((1 << 63) - 1, int((2 * min(1.0, 1.5 * (per_language + 20) / r["count"]) - 1) * (1 << 63))) for r in counts}
     if not bound:
@@ -172,7 +187,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 pa.array([r[a].astype(np.float16).tobytes() for r, a in zip(x, at)], pa.binary()),
             ], ["h", "lang", "at", "w"])
 
-    got = sorted(sample.mapInArrow(sparse, "h long, lang string, at binary, w binary").collect(), key=lambda r: (r["lang"], r["h"], r["at"]))
+    # rows that repeat an id are one before they leave their tasks
+    profiled = sample.mapInArrow(sparse, "h long, lang string, at binary, w binary").groupBy("lang", "h").agg(F.min(F.struct("at", "w")).alias("x"))
+    got = sorted(profiled.select("lang", "h", "x.*").collect(), key=lambda r: (r["lang"], r["h"], r["at"]))
     taken: dict[str, int] = {}
     rows = []
     for r in got:
@@ -197,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", rows=_ROWS):
             lang, score = sent.value.predict(profiles(batch.column(2)))
-            none = [t is None or not _LETTER.search(t) for t in batch.column(2).to_pylist()]
+            none = [not has_letter(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
                 pa.array([UNDETERMINED if u else v for u, v in zip(none, lang)], pa.string()),
@@ -217,7 +234,7 @@ def identified_only(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         for batch in slices(batches, text_col, rows=_ROWS):
             texts = batch.column(batch.schema.get_field_index(text_col))
             lang, _ = sent.value.predict(profiles(texts))
-            keep = [t is not None and bool(_LETTER.search(t)) and v != UNDETERMINED for t, v in zip(texts.to_pylist(), lang)]
+            keep = [has_letter(t) and v != UNDETERMINED for t, v in zip(texts.to_pylist(), lang)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,9 +8,12 @@ of slots a source has had w*t blocks, give or take less than one.
 
 Weights are taken exactly, as the fractions p/q that the floats are; q is as large as
 that needs. The schedule repeats every q slots, so the driver simulates q slots or those
-of the phase, whichever are fewer: a step and eight bytes a block at most. When a source
-runs out, the others go on with their weights scaled up: a new phase. All rows are
-placed, each once. Callers may give a period q instead; weights are then rounded to it.
+of the phase, whichever are fewer: a step and eight bytes a block at most. A block is
+BLOCK_ROWS rows, or the MAX_BLOCKS-th part of all rows if that is more, so the simulation
+and what workers are sent stay within MAX_BLOCKS steps and 8 MB however many rows there
+are. When a source runs out, the others go on with their weights scaled up: a new phase;
+sources of weight 0 come after all others. All rows are placed, each once. Callers may
+give a period q instead; weights are then rounded to it.
 
 Rows are numbered within their source by counting, not by one sort per source: rows
 are dealt to (source, bucket) groups of bounded size, numbered there, and shifted by
@@ -31,11 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 BLOCK_ROWS = 64
 #: More sources are an error.
 MAX_SOURCES = 1000
-#: Rows that a numbering group has on average.
+#: Blocks of all sources together, at most and but for one more each.
+MAX_BLOCKS = 1 << 20
+#: Rows that a numbering group has on average, and groups of a source at most.
 BUCKET_ROWS = 4096
+MAX_BUCKETS = 1 << 20
 #: Without given weights, a source weighs its rows to this power.
 TEMPERATURE = 0.5
 
@@ -125,13 +133,15 @@ def plan(blocks: dict[str, int], weights: dict[str, float], q: int | None = None
     first = dict.fromkeys(left, 0)
     phases, start = [], 0
     while left:
-        own = {s: weights[s] for s in left}
-        ph = Phase(start, {s: first[s] for s in left}, exact_shares(own) if q is None else period_shares(own, q), left)
+        # what weighs nothing waits until nothing else is left
+        own = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1.0)
+        going = {s: left[s] for s in own}
+        ph = Phase(start, {s: first[s] for s in own}, exact_shares(own) if q is None else period_shares(own, q), going)
         if ph.length is not None:
             end = start + ph.length
         else:
-            end = min(int(ph.slot(s, np.array([first[s] + n - 1]))[0]) for s, n in left.items()) + 1
-        for s in list(left):
+            end = min(int(ph.slot(s, np.array([first[s] + n - 1]))[0]) for s, n in going.items()) + 1
+        for s in going:
             if ph.length is not None:
                 used = len(ph.slots[s])
             else:
@@ -147,11 +157,13 @@ def plan(blocks: dict[str, int], weights: dict[str, float], q: int | None = None
 
 
 def target_weights(rows: dict[str, int], weights: dict[str, float] | None, temperature: float = TEMPERATURE) -> dict[str, float]:
-    """Positive weights that add up to 1; sources that ``weights`` lacks get the
-    smallest given one."""
+    """Weights that add up to 1; sources that ``weights`` lacks get the smallest given
+    one above 0. A negative weight or none above 0 is an error."""
     if weights:
+        if min(weights.values()) < 0 or not all(map(math.isfinite, weights.values())) or not any(weights.values()):
+            raise ValueError("weights have to be finite, 0 or more, and not all 0")
         least = min(w for w in weights.values() if w > 0)
-        raw = {s: weights.get(s, least) if weights.get(s, least) > 0 else least for s in rows}
+        raw = {s: weights.get(s, least) for s in rows}
     else:
         raw = {s: float(n) ** temperature for s, n in rows.items()}
     total = sum(raw.values()) or 1.0
@@ -159,20 +171,25 @@ def target_weights(rows: dict[str, int], weights: dict[str, float] | None, tempe
 
 
 def numbered(docs: DataFrame, rows: dict[str, int], id_col: str, source_col: str, bucket_rows: int) -> DataFrame:
-    """(id, source, nth): rows of each source from 0, in the order of a hash of id."""
-    buckets = {s: max(1, -(-n // bucket_rows)) for s, n in rows.items()}
-    many = F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv])
-    keyed = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"))
-    keyed = keyed.withColumn("h", F.xxhash64("id")).withColumn("bucket", F.pmod("h", many[F.col("source")]))
+    """(id, source, nth): rows of each source from 0, in the order of a hash of id. Rows
+    that repeat an id, null ones too, are told apart by their place in docs, so they
+    spread over the groups like others; ids and places are written first, so that all
+    that follows sees the same ones."""
+    many = {s: max(1, min(MAX_BUCKETS, -(-n // bucket_rows))) for s, n in rows.items()}
+    buckets = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    keyed = docs.select(
+        docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), F.monotonically_increasing_id().alias("place"),
+    ).select("id", "source", F.xxhash64("id").alias("h"), "place")
+    keyed = materialize(keyed.withColumn("bucket", F.pmod(F.xxhash64("id", "place"), buckets[F.col("source")]).cast("int")), "mix-rows")
     counts = keyed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "bucket").orderBy("h", "id")
+    within = Window.partitionBy("source", "bucket").orderBy("h", "id", "place")
     ranked = keyed.select("id", "source", "bucket", (F.row_number().over(within) - 1).alias("rn"))
     return ranked.join(offsets, ["source", "bucket"]).select("id", "source", (F.col("offset") + F.col("rn")).alias("nth"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, q: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None, q: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each row of docs: id, source, block, slot, position.
 
     position orders the mixture and is unique; the last block of a source may be
@@ -185,6 +202,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     rows = {r["source"]: r["n"] for r in counts}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(rows.values()) // MAX_BLOCKS))
     phases = plan({s: -(-n // block_rows) for s, n in rows.items()}, target_weights(rows, weights), q)
     schema = "id long, source string, block long, slot long, position long"
     if not rows:

@@ -23,9 +23,9 @@ from .quality_rules import STOP_WORDS
 
 #: Documents of each side that the scorer is fitted on at most (documented bound).
 PER_SIDE = 2000
-#: Documents with this score or more are kept, and those that no labeller objects to:
-#: a short clean text has too few trigrams for a score of its own.
-KEEP = 0.5
+#: Documents with this score or more are kept. Texts of fewer words than SHORT have too
+#: few trigrams for a score of their own: they are also kept if no labeller objects.
+KEEP, SHORT = 0.5, 20
 ROUNDS = 100
 _ROWS = 512
 
@@ -174,7 +174,8 @@ def _voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_side: int = PER_SIDE) -> tuple[LabelModel, np.ndarray]:
     """The label model, from the votes on all documents, and the scorer, from
-    ``per_side`` documents of either side at most, chosen by a hash of id."""
+    ``per_side`` documents of either side at most, chosen by a hash of id and text. Rows
+    that repeat both are one; null ids are hashed by their texts."""
     rows = _voted(docs, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +210,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_sid
             ], ["h", "p", "at", "w"])
 
     # rows beyond both bounds can't be chosen: their texts are not looked at
-    near = rows.select(F.xxhash64("id").alias("h"), "t").where(F.col("h") <= max(bounds))
-    got = near.mapInArrow(sample, "h long, p double, at binary, w binary").collect()
+    near = rows.select(F.xxhash64("id", "t").alias("h"), "t").where(F.col("h") <= max(bounds))
+    sampled = near.mapInArrow(sample, "h long, p double, at binary, w binary").groupBy("h").agg(F.min(F.struct("p", "at", "w")).alias("x"))
+    got = sampled.select("h", "x.*").collect()
     chosen = []
     for good in (False, True):
         own = sorted((r for r in got if (r["p"] >= 0.5) == good), key=lambda r: (r["h"], r["at"]))
@@ -230,11 +232,13 @@ def score(docs: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, w = sent.value
         for batch in slices(batches, "t", rows=_ROWS):
-            v = votes(batch.column(1))
+            read = measures(batch.column(1))
+            v = np.stack([rule(read) for _, rule in LABELLERS], axis=1)
+            spared = (read["words"] < SHORT) & ~(v < 0).any(axis=1)
             s = 1 / (1 + np.exp(-np.clip(profiles(batch.column(1), fold=False) @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(["".join("-0+"[x + 1] for x in r) for r in v.tolist()], pa.string()),
-                pa.array(m.posterior(v)), pa.array(s.astype(float)), pa.array((s >= keep) | ~(v < 0).any(axis=1)),
+                pa.array(m.posterior(v)), pa.array(s.astype(float)), pa.array((s >= keep) | spared),
             ], ["id", "votes", "posterior", "score", "kept"])
 
     return _voted(docs, id_col, text_col).mapInArrow(run, "id long, votes string, posterior double, score double, kept boolean")
