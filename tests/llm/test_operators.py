@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilspan.llm import components, exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, secret_scan, setsketch, warc
+from veilspan.llm import components, exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality_model, quality_rules, queries, secret_scan, setsketch, warc
 from veilspan.llm.common import flat_utf8, slices, word_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -428,17 +428,39 @@ def test_warc_round_trip(spark):
     assert warc.write_archives(pages_of(spark, [])).count() == 0
 
 
-def test_warc_reader_notices_damage(tmp_path, spark):
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_warc_revisits_are_checked(spark, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)  # 0: winners are joined by a shuffle
+    rng = random.Random(22)
+    rows = [(i, "u", rng.choice(["x" * 1500, "y" * 999, "z" * 1000, prose(rng, 500)])) for i in range(120)]
+    archives = warc.write_archives(pages_of(spark, rows), archive_bytes=2000)
+    out = {r["page_id"]: r for r in warc.check_revisits(warc.read_archives(warc.save_archives(archives))).collect()}
+    last = {h: i for i, _, h in rows if len(h) >= 1000}
+    assert len(out) == 120 and all(r["verified"] for r in out.values())
+    assert {i: out[i]["refers_to"] for i, _, _ in rows} == {i: last[h] if h in last and last[h] != i else None for i, _, h in rows}
+    digest = hashlib.sha1(b"a" * 2000).hexdigest()
+    wrong = [warc.write_record(1, "u", b"a" * 2000, digest, None, "d"), warc.write_record(2, "u", b"a" * 2000, digest, 1, "d"), warc.write_record(3, "u", b"a" * 2001, digest, 1, "d"), warc.write_record(4, "u", b"b" * 2000, hashlib.sha1(b"b").hexdigest(), 1, "d"), warc.write_record(5, "u", b"a" * 2000, digest, 77, "d")]
+    read = warc.check_revisits(warc.read_archives(spark.createDataFrame([(b"".join(wrong),), (None,), (b"",)], "content binary")))
+    assert {r["page_id"]: r["verified"] for r in read.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert warc.check_revisits(warc.read_archives(archives.where("false"))).count() == 0
+
+
+def test_warc_reader_notices_damage(tmp_path, spark, monkeypatch):
     one = warc.write_record(1, "u", b"x" * 2000, hashlib.sha1(b"x" * 2000).hexdigest(), None, "2000-01-01T00:00:00Z")
-    assert len(list(warc.members(one * 3))) == 3
-    with pytest.raises(ValueError):
-        list(warc.members(one[:-10]))
-    with pytest.raises(ValueError):
-        warc.read_record(next(warc.members(one))[:-5])
+    assert [r.length for r in warc.records(one * 3)] == [2000] * 3
+    for bad in (one[:-10], one + one[:40], zlib.compress(b"x", wbits=31), zlib.compress(zlib.decompress(one, 31)[:-5], wbits=31), zlib.compress(zlib.decompress(one, 31) + b"x", wbits=31), zlib.compress(zlib.decompress(one, 31).replace(b"Content-Length: 2", b"Content-Length: 1"), wbits=31)):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(bad))
     wrong = warc.write_record(1, "u", b"x" * 2000, hashlib.sha1(b"y").hexdigest(), None, "2000-01-01T00:00:00Z")
     (tmp_path / "a.warc.gz").write_bytes(one + wrong)
     out = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert [r["verified"] for r in out] == [True, False]
+    rng = random.Random(23)
+    for piece in (1, 7, 64, 1 << 16):
+        monkeypatch.setattr(warc, "_PIECE", piece)
+        bodies = [bytes(rng.choices(b"ab\r\n", k=rng.randrange(300))) for _ in range(20)]
+        found = list(warc.records(b"".join(warc.write_record(i, "u", b, hashlib.sha1(b).hexdigest(), None, "d") for i, b in enumerate(bodies)), payload=True))
+        assert [(r.payload, r.digest) for r in found] == [(b, hashlib.sha1(b).hexdigest()) for b in bodies]
 
 
 # 7 quality rules
@@ -457,9 +479,10 @@ def rule_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
 
 
-@pytest.mark.parametrize("bits", [24, 3])
-def test_quality_rules(spark, edges, empty, monkeypatch, bits):
+@pytest.mark.parametrize(("bits", "mask"), [(24, -1), (3, -1), (24, 1)])
+def test_quality_rules(spark, edges, empty, monkeypatch, bits, mask):
     monkeypatch.setattr(quality_rules, "POSITION_BITS", bits)  # 3: texts of 8 words take the other path
+    monkeypatch.setattr(quality_rules, "HASH_MASK", mask)  # 1: different windows have equal hashes
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", "b", "the", " ", " ", "\n", "\n\n", "\t", "#", "|", "é", "𠮷", "\x0b", "a b c "]) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "a a a a", "x " * 500]
     out = {r["id"]: r for r in quality_rules.quality_rules(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
@@ -470,6 +493,20 @@ def test_quality_rules(spark, edges, empty, monkeypatch, bits):
     assert quality_rules.quality_rules(edges).count() == edges.count() and quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_sql_knows_all_white_space(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(24)
+    words = ["the", "of", "a", "x1", "é", "𠮷", "#", "der", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\t", "\n", "\x0b", "\x0c", "\r", "\r\n", "  "]) for _ in range(rng.randrange(90))) for _ in range(150)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(queries.oracle_sql()["op7_quality_rules"])
+    got = queries.op7_quality_rules(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_quality_rules_run_no_python(edges):
     plan = quality_rules.quality_rules(edges)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

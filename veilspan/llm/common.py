@@ -50,13 +50,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    wrote(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list[str] = []
 
 
+def wrote(path: str) -> None:
+    """Remember a folder for ``drop_materialized``."""
+    _WRITTEN.append(path)
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Delete what ``materialize`` has written in this process, through Spark's file
     systems; call it when all results have been written. Returns how many there were."""

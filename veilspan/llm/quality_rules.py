@@ -7,8 +7,10 @@ they are split in a projection of their own that Catalyst keeps apart, as its
 output is used more than once.
 
 Repeated 3-word windows are found by sorting, per document, one long per window
-(40 bits of hash, 24 bits of position) and comparing the words of neighbours, so
-equal hashes of different windows do no harm and no row leaves its task.
+(40 bits of hash, 24 bits of position) and comparing the words of neighbours. A text in
+which neighbours have equal hashes but different words, and one with more words than
+there are positions, has its windows sorted by the words themselves. No row leaves its
+task.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ STOP_WORDS = (
     "el los las y del se por con no su para es al lo"
 ).split()
 
-#: Position bits of a packed window; longer texts are sorted as pairs instead.
-POSITION_BITS = 24
+#: Position bits of a packed window, and what is taken of the window's hash.
+POSITION_BITS, HASH_MASK = 24, -1
 
 
 class Rule(NamedTuple):
@@ -109,21 +111,28 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         "id", "t", "w", "l", "size(w) AS n",
         f"""CASE WHEN size(w) < 3 THEN array()
                  WHEN size(w) < {1 << bits} THEN sort_array(transform(sequence(0L, size(w) - 3L),
-                   p -> (xxhash64(w[int(p)], w[int(p) + 1], w[int(p) + 2]) & {-(1 << bits)}L) | p))
+                   p -> (xxhash64(w[int(p)], w[int(p) + 1], w[int(p) + 2]) & {(HASH_MASK << bits) & ((1 << 64) - 1) if HASH_MASK > 0 else -(1 << bits)}L) | p))
             END AS s""",
-        f"""CASE WHEN size(w) >= {1 << bits} THEN array_sort(transform(sequence(0L, size(w) - 3L),
-                   p -> named_struct('a', w[int(p)], 'b', w[int(p) + 1], 'c', w[int(p) + 2], 'p', p)))
-            END AS big""",
     )
-    at, same = f"int(x & {(1 << bits) - 1}L)", []
+    at, low = f"int(x & {(1 << bits) - 1}L)", f"{(1 << bits) - 1}L"
+    equal_hash, equal_words = {}, {}
     for other in ("i - 1", "i + 1"):
-        y = f"int(s[{other}] & {(1 << bits) - 1}L)"
+        y = f"int(s[{other}] & {low})"
         inside = "i > 0" if "-" in other else "i + 1 < size(s)"
-        same.append(f"({inside} AND shiftright(s[{other}], {bits}) = shiftright(x, {bits}) AND w[{y}] = w[{at}] AND w[{y} + 1] = w[{at} + 1] AND w[{y} + 2] = w[{at} + 2])")
+        equal_hash[other] = f"({inside} AND shiftright(s[{other}], {bits}) = shiftright(x, {bits}))"
+        equal_words[other] = f"(w[{y}] = w[{at}] AND w[{y} + 1] = w[{at} + 1] AND w[{y} + 2] = w[{at} + 2])"
+    clash = f"size(filter(s, (x, i) -> {equal_hash['i - 1']} AND NOT {equal_words['i - 1']})) > 0"
+    told = packed.selectExpr(
+        "id", "t", "w", "l", "n", "s",
+        f"""CASE WHEN s IS NULL OR {clash} THEN array_sort(transform(sequence(0L, size(w) - 3L),
+                   p -> named_struct('a', w[int(p)], 'b', w[int(p) + 1], 'c', w[int(p) + 2], 'p', p)))
+            END AS big""",
+    )
     neighbour = lambda o: f"(big[{o}].a = x.a AND big[{o}].b = x.b AND big[{o}].c = x.c)"
-    hits = packed.selectExpr(
+    same = " OR ".join(f"({equal_hash[o]} AND {equal_words[o]})" for o in equal_hash)
+    hits = told.selectExpr(
         "id", "t", "w", "l", "n",
-        f"""CASE WHEN s IS NOT NULL THEN sort_array(transform(filter(s, (x, i) -> {same[0]} OR {same[1]}), x -> x & {(1 << bits) - 1}L))
+        f"""CASE WHEN big IS NULL THEN sort_array(transform(filter(s, (x, i) -> {same}), x -> x & {low}))
             ELSE sort_array(transform(filter(big, (x, i) -> (i > 0 AND {neighbour('i - 1')}) OR (i + 1 < size(big) AND {neighbour('i + 1')})), x -> x.p)) END AS hits""",
     )
     return hits.selectExpr(

@@ -51,7 +51,7 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.save_archives(warc.write_archives(table(spark, sf_dir, "pages")))
-    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return warc.check_revisits(warc.read_archives(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _op7_sql() -> str:
 
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-     w AS (SELECT doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^ 	-]')] AS l FROM d),
+     w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
      p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
      k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p),
      c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS q FROM k WHERE n > 1) GROUP BY doc_id),

@@ -2,13 +2,14 @@
 
 An archive is a run of records, each one gzip member. The reader walks an archive
 once: it feeds the inflater small pieces, starts a new inflater where a member ends,
-frames the block by Content-Length and checks the payload digest. It never holds
-more than one record.
+frames the block by Content-Length and takes the payload's digest piece by piece. Of a
+record it holds two pieces or so, and the payload only where it is asked for.
 
 Archives are rows (name, content) of a table that Spark writes to the shared folder,
 so any store that Spark reads will do and a lost executor costs its tasks only.
 ``read_archives`` takes Spark's ``binaryFile`` source as well, for .warc.gz files of
-other makers.
+other makers; a row is an archive, so these have to stay below the 2 GB of a binary
+column, and a worker holds the compressed bytes of one at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices
+from .common import materialize, shared_dir, slices, wrote
 
 #: Bytes after which a task begins the next archive.
 ARCHIVE_BYTES = 4 << 20
@@ -35,13 +36,17 @@ LEVEL = 4
 #: each), else joined by a shuffle.
 BROADCAST_ROWS = 50_000
 _PIECE = 1 << 16
+#: What has a longer header is no record.
+HEADER_BYTES = 1 << 20
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 class Record(NamedTuple):
     headers: dict[str, str]
-    block: bytes
+    length: int
+    digest: str
+    payload: bytes | None
 
 
 def _id(page_id: int | None) -> str:
@@ -74,38 +79,82 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return z.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The inflated gzip members of an archive, one after the other, fed in pieces."""
-    at, n = 0, len(content)
-    while at < n:
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            if at >= n:
+class _Member:
+    """What one gzip member inflates to, as a stream of which at most about two pieces
+    are held. ``at`` is where the next member begins once this one has been read."""
+
+    def __init__(self, content: bytes, at: int):
+        self.content, self.at, self.z, self.held = content, at, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        """Inflate some more; False at the end of the member."""
+        while not self.z.eof:
+            left = self.z.unconsumed_tail
+            if not left:
+                left = self.content[self.at : self.at + _PIECE]
+                self.at += len(left)
+            out = self.z.decompress(left, _PIECE)
+            if self.z.eof:
+                self.at -= len(self.z.unused_data)
+            elif not left and not out:
                 raise ValueError("an archive ends within a member")
-            piece = content[at : at + _PIECE]
-            out.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
-        yield b"".join(out)
-
-
-def read_record(member: bytes) -> Record:
-    """The record of one member, framed by Content-Length."""
-    end = member.find(b"\r\n\r\n")
-    if end < 0 or not member.startswith(b"WARC/"):
-        raise ValueError("a member is no WARC record")
-    lines = member[:end].decode("utf-8", "replace").split("\r\n")[1:]
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    size = int(headers.get("content-length", "-1"))
-    block = member[end + 4 : end + 4 + size]
-    if size < 0 or len(block) != size or member[end + 4 + size :] != b"\r\n\r\n":
-        raise ValueError("a record's block has not the length of its header")
-    return Record(headers, block)
-
-
-def payload_of(block: bytes) -> bytes:
-    """What follows the HTTP header of a block."""
-    end = block.find(b"\r\n\r\n")
-    return block[end + 4 :] if end >= 0 else b""
+            if out:
+                self.held += out
+                return True
+        return False
+
+    def until(self, mark: bytes, limit: int) -> bytes | None:
+        """What comes before ``mark``, which is taken as well; None if it doesn't come
+        within ``limit`` bytes, which stay."""
+        while True:
+            end = self.held.find(mark)
+            if end >= 0:
+                out, self.held = self.held[:end], self.held[end + len(mark) :]
+                return out
+            if len(self.held) > limit or not self.more():
+                return None
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes in pieces; fewer if the member ends."""
+        while n > 0 and (self.held or self.more()):
+            out, self.held = self.held[:n], self.held[n:]
+            n -= len(out)
+            yield out
+
+
+def records(content: bytes, payload: bool = False) -> Iterator[Record]:
+    """The records of an archive, one after the other. A block is read in pieces, of
+    which digest and length are taken; the payload is only held where it is asked for."""
+    at = 0
+    while at < len(content):
+        m = _Member(content, at)
+        head = m.until(b"\r\n\r\n", HEADER_BYTES)
+        if head is None or not head.startswith(b"WARC/"):
+            raise ValueError("a member is no WARC record")
+        lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        size = int(headers.get("content-length", "-1"))
+        if size < 0:
+            raise ValueError("a record has no length")
+        # the payload of an HTTP block is what follows its header
+        read, http, inside, digest, length, kept = 0, b"", False, hashlib.sha1(), 0, []
+        for piece in m.take(size):
+            read += len(piece)
+            if not inside:
+                http += piece
+                end = http.find(b"\r\n\r\n")
+                if end < 0:
+                    http = http[-3:]  # a mark may begin there
+                    continue
+                inside, piece = True, http[end + 4 :]
+            digest.update(piece)
+            length += len(piece)
+            if payload:
+                kept.append(piece)
+        if read != size or m.until(b"\r\n\r\n", 4) != b"" or m.held or m.more():
+            raise ValueError("a record's block has not the length of its header")
+        yield Record(headers, length, digest.hexdigest(), b"".join(kept) if payload else None)
+        at = m.at
 
 
 def _declared(headers: dict[str, str]) -> str | None:
@@ -124,38 +173,50 @@ READ = "page_id long, url string, record_type string, refers_to long, payload_by
 def read_archives(archives: DataFrame, content_col: str = "content", payload: bool = False) -> DataFrame:
     """A row for each response and revisit record of the archives in ``content_col``.
 
-    verified: the payload of a response has its declared digest (a revisit has no
-    payload here; its declared digest and length are passed on). A broken member,
-    block length or record raises an error rather than losing records. ``payload``
-    adds the bytes. Null or empty contents have no records.
+    verified: the payload of a response has its declared digest; of a revisit, which has
+    no payload here, that it declares one (``check_revisits`` looks at the response that
+    it refers to). A broken member, block length or record raises an error rather than
+    losing records. ``payload`` adds the bytes. Null or empty contents have no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_pylist([dict(zip(_READ.names, r)) for r in rows], _READ)
         for batch in slices(batches, "content", rows=1):
-            rows = []
+            rows, size = [], 0
             for content in batch.column(0):
-                for member in members(content.as_py() or b""):
-                    h, block = read_record(member)
-                    kind = h.get("warc-type")
-                    if kind not in ("response", "revisit"):
-                        continue
-                    told, url = _declared(h), h.get("warc-target-uri")
+                for r in records(content.as_py() or b"", payload):
+                    kind, told = r.headers.get("warc-type"), _declared(r.headers)
                     if kind == "response":
-                        body = payload_of(block)
-                        digest, size = hashlib.sha1(body).hexdigest(), len(body)
-                        ok = told is None or told == digest
+                        found = (r.length, r.digest, told is None or told == r.digest, r.payload)
+                    elif kind == "revisit":
+                        length = r.headers.get("x-payload-length", "")
+                        found = (int(length) if length.isdigit() else None, told, told is not None, None)
                     else:
-                        body, digest, size, ok = None, told, int(h["x-payload-length"]) if "x-payload-length" in h else None, told is not None
-                    rows.append((_page(h.get("warc-record-id")), url, kind, _page(h.get("warc-refers-to")), size, digest, ok, body if payload else None))
-                    if len(rows) >= 1024 or payload and sum(len(r[7] or b"") for r in rows[-64:]) > _PIECE * 16:
-                        yield pa.RecordBatch.from_pylist([dict(zip(_READ.names, r)) for r in rows], _READ)
-                        rows = []
+                        continue
+                    rows.append((_page(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), kind, _page(r.headers.get("warc-refers-to")), *found))
+                    size += len(r.payload or b"")
+                    if len(rows) >= 1024 or size >= 16 * _PIECE:
+                        yield out(rows)
+                        rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(_READ.names, r)) for r in rows], _READ)
+                yield out(rows)
 
     return archives.select(archives[content_col].alias("content")).mapInArrow(run, READ)
 
 
+def check_revisits(found: DataFrame) -> DataFrame:
+    """The rows of ``read_archives``, where a revisit is verified when the response that
+    it refers to was read, has been verified and has its digest and length. Only ids and
+    digests meet, and revisits of one response count as one there."""
+    found = materialize(found, "warc-read")
+    keys = ["refers_to", "payload_digest", "payload_bytes"]
+    told = found.where("record_type = 'revisit' AND verified").groupBy(*keys).agg(F.count(F.lit(1)).alias("revisits"))
+    there = found.where("record_type = 'response' AND verified").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    good = told.join(there, keys, "left_semi").select(*keys, F.lit(True).alias("met"))
+    met = (F.col("record_type") == "response") & F.col("verified") | F.coalesce("met", F.lit(False))
+    return found.join(good, keys, "left").withColumn("verified", met).select(*found.columns)
+
+
 _READ = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary()),
@@ -214,4 +275,5 @@ def save_archives(archives: DataFrame, tag: str = "warc") -> DataFrame:
     spark = archives.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     archives.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
+    wrote(path)
     return spark.read.schema(archives.schema).parquet(path)
