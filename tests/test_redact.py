@@ -84,6 +84,12 @@ def test_documents_end_to_end(spark):
     assert {r["text"]: r["masked"] for r in mask(df).collect()} == CORPUS
 
 
+def test_columns_of_the_same_name_are_an_error(spark):
+    for name in ("findings", "Masked", "warnings", "replacements", "model_failures", "ner_spans"):
+        with pytest.raises(ValueError, match="rename"):
+            mask(spark.createDataFrame([("x", 1)], f"text string, {name} int"))
+
+
 def test_json_stays_json(spark):
     body = {"timestamp": 1789049614, "token": "aBc123", "mail": "s@example.co.jp", "tel": "090-1234-5678", "scrub": ["password", "secret"], "access_token": "******"}
     row = mask(spark.createDataFrame([(json.dumps(body),)], "text string")).first()

@@ -16,9 +16,16 @@ from ..functions.text import KANJI, ascii_digits
 _D = "[0-9０-９]"
 _DASH = "[-－ー−]"
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+#: The characters of an address before and after the @. A match begins
+#: where a run of the former does, or where the match before ended: any other start in
+#: the run would fail at the same @, so long runs cost one pass.
+_LOCAL, _HOST = r"[A-Za-z0-9._%+\-]", r"[A-Za-z0-9.\-]"
+EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}+\.[A-Za-z]{{2,}}"
 POSTAL = rf"(?U)〒\s*{_D}{{3}}{_DASH}{_D}{{4}}"
-URL_CREDENTIAL = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/?#@]+:[^\s/?#@]+@"
+#: The authority of RFC 3986 with a password: ://user:password@, after a scheme, which
+#: has a letter. It begins at the colon, as only the password is reported.
+_SCHEME_BEFORE = r"(?<=[A-Za-z][A-Za-z0-9+.\-]{0,63}://)"
+URL_CREDENTIAL = rf"://{_SCHEME_BEFORE}[^\s:/?#@]++:[^\s/?#@]++@"
 
 #: Published credential shapes: fixed values, each with literals one of which it must
 #: contain.
@@ -59,8 +66,11 @@ PHONE = (
 _NAME = rf"[{KANJI}々ヶケ]"
 _TOWN = rf"[{KANJI}々ヶケぁ-んァ-ンー]"
 _BLOCK = rf"{_D}+(?:丁目(?:{_D}+番(?:地)?(?:{_D}+号)?)?|番地?(?:{_D}+号)?|(?:{_DASH}{_D}+){{1,3}})"
+#: What leads to the first digit of the block, 37 characters at most: where it is not
+#: there, the parts need not be tried.
+_AHEAD = rf"(?=〒|{_TOWN}{{2,37}}{_D})"
 ADDRESS = (
-    rf"(?U)(?:〒\s*{_D}{{3}}{_DASH}{_D}{{4}}[ \u3000]*)?"
+    rf"(?U){_AHEAD}(?:〒\s*{_D}{{3}}{_DASH}{_D}{{4}}[ \u3000]*)?"
     rf"(?:(?:北海道|東京都|京都府|大阪府|{_NAME}{{2,3}}県){_TOWN}{{1,8}}?[市区町村郡]|{_NAME}{{1,6}}[市区町村郡])"
     rf"(?:{_TOWN}{{1,8}}?[市区町村])?{_TOWN}{{0,15}}?{_BLOCK}"
 )
@@ -159,7 +169,8 @@ _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secr
 _CAMEL = r"(?:Password|Passwd|Pwd|Secret|Token|ApiKey|AccessKey|SecretKey|PrivateKey|ClientSecret)"
 _SCHEME = r"(?i:bearer|basic|token|digest)"
 NAMED = (
-    rf"(?<![A-Za-z0-9_\-])(?:(?:[A-Za-z0-9]+[_\-.])*{_SECRET}|[A-Za-z0-9]*[a-z0-9]{_CAMEL}|(?i:(?:proxy-)?authorization))"
+    # one class before the name, not a repeated group, which the matcher would recurse into
+    rf"(?<![A-Za-z0-9_\-.])[A-Za-z0-9_\-.]*(?:(?<![A-Za-z0-9])(?:{_SECRET}|(?i:authorization))|(?<=[a-z0-9]){_CAMEL})"
     rf"[\"']?[ \t]*[:=][ \t]*(?:\"(?:{_SCHEME}[ \t]+)?[^\"\n]+\"|'(?:{_SCHEME}[ \t]+)?[^'\n]+'|(?:{_SCHEME}[ \t]+)?[^\s\"',;)\]}}]+)"
 )
 _VALUE = rf"^[^:=]*[:=][ \t]*([\"']?)(?:{_SCHEME}[ \t]+)?(.+?)\1$"

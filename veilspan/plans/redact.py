@@ -67,10 +67,23 @@ def _placeholders(findings: str, replacements: str) -> Column:
     return masking.with_placeholder(F.col(findings), F.col(replacements))
 
 
+#: Columns that the plans add, for good or on the way.
+_DETECTED = ("findings", "model_state", "ner_state", "model_failures", "ner_spans", "model_spans", "model_ungrounded", "__spans")
+_MASKED = (*_DETECTED, "masked", "replacements", "warnings")
+
+
+def _free(df: DataFrame, names: tuple[str, ...]) -> None:
+    taken = {c.lower() for c in df.columns} & set(names)
+    if taken:
+        raise ValueError(f"rename these columns first, the result has columns of the same name: {sorted(taken)}")
+
+
 def detect(df: DataFrame, config: Config | None = None, text: str = "text", extra: str | None = None) -> DataFrame:
     """df with ``findings``, ``model_state``, ``ner_state`` and ``model_failures``. A null
-    text is empty. ``extra`` names a column of further spans."""
+    text is empty. ``extra`` names a column of further spans. A column of df with one of
+    the names that are added is an error."""
     config = config or Config()
+    _free(df, _DETECTED)
     df = df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = with_tagger(df, config.tagger if config.use_tagger else None, config.names, text_col=text)
     df = with_language_model(df, config.model if config.use_model else None, config.names, text_col=text)
@@ -88,7 +101,9 @@ def mask_with(df: DataFrame, findings: str = "findings", text: str = "text") ->
 
 
 def mask(df: DataFrame, config: Config | None = None, text: str = "text", extra: str | None = None) -> DataFrame:
-    """df with ``masked``, ``findings`` (with placeholders) and ``warnings``."""
+    """df with ``masked``, ``findings`` (with placeholders) and ``warnings``; see
+    ``detect`` for columns of these names."""
+    _free(df, _MASKED)
     df = mask_with(detect(df, config, text, extra), "findings", text)
     df = df.withColumn("findings", _column(_placeholders, "findings", "replacements"))
     return df.withColumn("warnings", report.warnings(F.col("model_state"), F.col("ner_state"), F.col("model_failures"))).drop("replacements", "model_failures")

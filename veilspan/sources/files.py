@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
+import tempfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +24,25 @@ CORPUS_SCHEMA = (
 DETECTIONS_SCHEMA = "system string, samples map<string, struct<names: array<struct<text: string, location: int, length: int>>, rejected: array<string>>>"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset
+    a local session gets one of its own, gone when the process ends; a cluster can't do
+    without."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{_own_folder()}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="veilspan-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, valid): whole files. Bytes that are not UTF-8 give valid = false
     and a null text, rather than an empty one."""
