@@ -284,7 +284,7 @@ def near_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize(("task_weight", "block"), [(512_000, 2048), (3000, 4)])
+@pytest.mark.parametrize(("task_weight", "block"), [(512_000, 512), (3000, 4)])
 def test_near_dedup_equals_brute_force(spark, task_weight, block):
     rows = near_rows(random.Random(11))
     want, sizes = components_by_force(rows)
@@ -303,7 +303,7 @@ def test_near_dedup_finds_copies_among_unlike_texts_with_their_passage(spark, bl
     assert {r["id"]: r["component_id"] for r in out} == {i: min(i, 5000) for i, _ in rows}
 
 
-@pytest.mark.parametrize(("task_weight", "block"), [(512_000, 2048), (4000, 16)])
+@pytest.mark.parametrize(("task_weight", "block"), [(512_000, 512), (4000, 16)])
 def test_near_dedup_of_windows_and_footers_and_chains(spark, task_weight, block):
     rng = random.Random(18)
     own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]

@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 4
 #: best: 18 is about six standard errors.
 SLACK = 18.0
 #: Members of a bucket that a task compares at once, on either side.
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS = 512
 #: Similarities below the wanted one at which the likelihood of a pair is tried.
 _TRIED = tuple(k / 20 for k in range(2, 20))
 #: Elements of the sets that a task compares at once, and what a set itself counts for.
@@ -188,7 +188,9 @@ def _cell_pairs(regs: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.nda
 def in_cells(cells: DataFrame, classes: DataFrame, m: int, percent: int, slack: float) -> DataFrame:
     """(id, p): the pairs of ``_cell_pairs`` in every cell. ``cells``: (key, lo, hi, side,
     id, g); a cell is what shares key, lo and hi."""
-    dealt = cells.join(classes.select("id", "n", "regs"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "id", "g", "n", "regs")
+    # a number of its own: by bytes alone few tasks would get all this work
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.join(classes.select("id", "n", "regs"), "id").repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "side", "id", "g", "n", "regs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
