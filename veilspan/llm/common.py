@@ -62,15 +62,22 @@ def wrote(path: str) -> None:
     _WRITTEN.append(path)
 
 
-def drop_materialized(spark: SparkSession) -> int:
-    """Delete what ``materialize`` has written in this process, through Spark's file
-    systems; call it when all results have been written. Returns how many there were."""
+def written() -> list[str]:
+    """The folders that ``drop_materialized`` would delete, oldest first."""
+    return list(_WRITTEN)
+
+
+def drop_materialized(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete what ``materialize`` has written in this process, or those of it that
+    ``paths`` names, through Spark's file systems; call it when all results that read
+    them have been written. Returns how many there were."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    count = len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = [p for p in _WRITTEN if paths is None or p in paths]
+    for p in gone:
+        _WRITTEN.remove(p)
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return count
+    return len(gone)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
