@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import exact_dedup, language_id, mixing, near_dedup, pieces
-from veilspan.llm.common import materialize, table
+from veilspan.llm.common import drop_materialized, materialize, table, written
 
 #: SQL can't express the trained model, the sketches or the lattice search; the
 #: stages are tested against brute-force versions instead.
@@ -65,8 +65,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
+    """The rows of the last stage over documents. When a stage is written, what it has
+    written on the way and the stage before it are deleted."""
     docs = table(spark, sf_dir, "documents")
+    spent: list[str] = []
     for name, stage in STAGES[:-1]:
+        before = set(written())
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        *inner, own = [p for p in written() if p not in before]
+        drop_materialized(spark, spent + inner)
+        spent = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
