@@ -23,6 +23,7 @@ from .plans.redact import Config, detect, long_findings, mask, mask_with, with_r
 from .plugins import Token, bio_spans, merge_spans
 from .sources import files
 from .streaming.redact_stream import mask_stream, write_stream
+from .tokenizer import labels_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The e-mail pattern without what only spares time: RE2 knows no look-behind.
@@ -790,6 +791,69 @@ def detections_round_trip(spark, sf_dir):
     return back.select("id", "text", F.col("location").cast("long").alias("location"))
 
 
+_DATE = "concat('2024-05-0', CAST(c_custkey % 9 + 1 AS STRING))"
+_LINK = "concat('https://example.org/', CAST(c_custkey AS STRING))"
+
+
+@_query(f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'date' AS kind, CAST(3 AS BIGINT) AS start, {_DATE} AS text FROM customer
+  UNION ALL SELECT CAST(c_custkey AS BIGINT), 'link', CAST(18 AS BIGINT), {_LINK} FROM customer""")
+def observed_dates_and_links(spark, sf_dir):
+    """Seen, never masked."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat('on ', {_DATE}, ' see ', {_LINK}, ' end')")
+    return docs.select("doc_id", F.inline(patterns.observations(F.col("text")))).select("doc_id", "kind", F.col("start").cast("long").alias("start"), "text")
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(3 AS BIGINT) AS start, 'Mary Stone' AS text FROM customer WHERE c_custkey % 2 = 0")
+def english_names(spark, sf_dir):
+    """A listed given name with a capitalised word after it; not in lower case."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", "concat('Hi ', CASE WHEN c_custkey % 2 = 0 THEN 'Mary Stone' ELSE 'mary stone' END, ', ref ', CAST(c_custkey AS STRING))")
+    return docs.select("doc_id", F.inline(patterns.english_names(F.col("text")))).select("doc_id", F.col("start").cast("long").alias("start"), "text")
+
+
+@_query("SELECT * FROM (VALUES ('alpha'), ('beta gamma'), ('δ')) t(term)")
+def term_file(spark, sf_dir):
+    """A list of terms in a file, read as the command line does."""
+    path = f"{files.shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+    lines = "concat('# list', chr(10), ' alpha ', chr(10), chr(10), 'beta gamma', chr(13), chr(10), 'δ')"
+    spark.range(1).selectExpr(f"{lines} AS value").write.text(path)
+    return spark.createDataFrame([(t,) for t in files.read_terms(spark, path)], "term string")
+
+
+@_query("SELECT concat('Kai N', CAST(c_custkey AS STRING)) AS surface FROM customer UNION SELECT concat('N', CAST(c_custkey AS STRING)) FROM customer UNION SELECT 'Kai'")
+def held_out_names(spark, sf_dir):
+    """Held-out names and their parts."""
+    return lexicon_jobs.held_out_names(_table(spark, sf_dir, "customer").selectExpr("concat('Kai N', CAST(c_custkey AS STRING)) AS text"))
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(7 AS BIGINT) AS start, CAST(9 AS BIGINT) AS stop, '田中' AS part FROM customer")
+def name_mentions(spark, sf_dir):
+    """The family part of a found name, alone before an honorific; not within a word."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", "concat('田中一郎です。田中さん', CAST(c_custkey AS STRING), '山田中央')")
+
+    @F.udf("array<struct<start: bigint, stop: bigint, part: string>>", useArrow=True)
+    def mentions(text):
+        names = lexicon.Names(surname_kanji={"田中"}, given_kanji={"一郎"})
+        return [{"start": a, "stop": b, "part": p} for a, b, p in names.mentions([(0, 4, "田中一郎")], text)]
+
+    return docs.select("doc_id", F.inline(mentions("text")))
+
+
+@_query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id,
+  CASE WHEN c_custkey % 3 >= c_custkey % 2 AND c_custkey % 3 >= 1 THEN 0 WHEN c_custkey % 2 >= 1 THEN 1 ELSE 2 END AS label FROM customer""")
+def best_labels(spark, sf_dir):
+    """The best of three scores; of equal ones the first."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS doc_id", "array(CAST(c_custkey % 3 AS DOUBLE), CAST(c_custkey % 2 AS DOUBLE), 1D) AS scores")
+
+    @F.pandas_udf("int")
+    def label(scores):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series(labels_of(np.stack(scores.to_list()))).astype("int32")
+
+    return rows.select("doc_id", label("scores").alias("label"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
