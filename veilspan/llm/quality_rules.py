@@ -114,25 +114,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
                    p -> (xxhash64(w[int(p)], w[int(p) + 1], w[int(p) + 2]) & {(HASH_MASK << bits) & ((1 << 64) - 1) if HASH_MASK > 0 else -(1 << bits)}L) | p))
             END AS s""",
     )
-    at, low = f"int(x & {(1 << bits) - 1}L)", f"{(1 << bits) - 1}L"
-    equal_hash, equal_words = {}, {}
-    for other in ("i - 1", "i + 1"):
-        y = f"int(s[{other}] & {low})"
-        inside = "i > 0" if "-" in other else "i + 1 < size(s)"
-        equal_hash[other] = f"({inside} AND shiftright(s[{other}], {bits}) = shiftright(x, {bits}))"
-        equal_words[other] = f"(w[{y}] = w[{at}] AND w[{y} + 1] = w[{at} + 1] AND w[{y} + 2] = w[{at} + 2])"
-    clash = f"size(filter(s, (x, i) -> {equal_hash['i - 1']} AND NOT {equal_words['i - 1']})) > 0"
-    told = packed.selectExpr(
-        "id", "t", "w", "l", "n", "s",
+    low = f"{(1 << bits) - 1}L"
+    # i: the window there and the next one in order have the same hash; few have
+    alike = packed.selectExpr("id", "t", "w", "l", "n", "s", f"""CASE WHEN size(s) > 1 THEN
+      filter(sequence(0, size(s) - 2), i -> shiftright(s[i], {bits}) = shiftright(s[i + 1], {bits})) ELSE array() END AS e""")
+    p, q = f"int(s[i] & {low})", f"int(s[i + 1] & {low})"
+    clash = f"exists(e, i -> NOT (w[{p}] = w[{q}] AND w[{p} + 1] = w[{q} + 1] AND w[{p} + 2] = w[{q} + 2]))"
+    told = alike.selectExpr(
+        "id", "t", "w", "l", "n", "s", "e",
         f"""CASE WHEN s IS NULL OR {clash} THEN array_sort(transform(sequence(0L, size(w) - 3L),
                    p -> named_struct('a', w[int(p)], 'b', w[int(p) + 1], 'c', w[int(p) + 2], 'p', p)))
             END AS big""",
     )
     neighbour = lambda o: f"(big[{o}].a = x.a AND big[{o}].b = x.b AND big[{o}].c = x.c)"
-    same = " OR ".join(f"({equal_hash[o]} AND {equal_words[o]})" for o in equal_hash)
     hits = told.selectExpr(
         "id", "t", "w", "l", "n",
-        f"""CASE WHEN big IS NULL THEN sort_array(transform(filter(s, (x, i) -> {same}), x -> x & {low}))
+        f"""CASE WHEN big IS NULL THEN sort_array(array_distinct(flatten(transform(e, i -> array(s[i] & {low}, s[i + 1] & {low})))))
             ELSE sort_array(transform(filter(big, (x, i) -> (i > 0 AND {neighbour('i - 1')}) OR (i + 1 < size(big) AND {neighbour('i + 1')})), x -> x.p)) END AS hits""",
     )
     return hits.selectExpr(
