@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -320,6 +322,18 @@ def test_near_dedup_of_windows_and_footers_and_chains(spark, task_weight, block)
     assert {r["id"]: r["component_id"] for r in out} == want and len({c for c in want.values()}) < 60
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_near_dedup_equals_its_sql(spark):
+    """Every link of the larger table, found by joining all shingles."""
+    folder = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    want = duck.sql(queries.oracle_sql()["op4_near_dedup"]).select(*columns).fetchall()
+    got = queries.op4_near_dedup(spark, folder).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_near_dedup_edges(edges, empty):
     out = near_dedup.near_dedup(edges).collect()
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in out if r["id"]}
