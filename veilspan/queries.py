@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from .functions import spans as S
 from .functions import text as T
 from .functions.kinds import FINDING, SPAN
-from .functions.unicode import nfkc
+from .functions.unicode import keep_piece, nfkc
 from .operators import batches, evaluate, lexicon, masking, patterns, reconcile, report, terms
 from .plans import lexicon_jobs, probe
 from .plans.redact import Config, detect, long_findings, mask, mask_with, with_report
 from .plugins import Token, bio_spans, merge_spans
 from .sources import files
 from .streaming.redact_stream import mask_stream, write_stream
-from .tokenizer import labels_of
+from .tokenizer import labels_of, locate
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The e-mail pattern without what only spares time: RE2 knows no look-behind.
@@ -854,6 +854,166 @@ def best_labels(spark, sf_dir):
     return rows.select("doc_id", label("scores").alias("label"))
 
 
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{files.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT concat('é ', n_name) AS text, true AS valid FROM nation UNION ALL SELECT NULL, false")
+def whole_files(spark, sf_dir):
+    """A file a text; one file isn't UTF-8."""
+    path = _written(spark, "texts")
+    good = _table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS STRING) AS part", "concat('é ', n_name) AS value")
+    bad = spark.range(1).selectExpr("'bad' AS part", "CAST(X'FF41' AS STRING) AS value")
+    good.unionByName(bad).repartition(F.col("part")).write.partitionBy("part").text(path)
+    return files.read_texts(spark, f"{path}/*/*.txt").select(F.rtrim(F.col("text"), F.lit("\n")).alias("text"), "valid")
+
+
+@_query("""SELECT CAST(c_custkey AS STRING) AS id, CASE CAST(c_custkey % 2 AS INT) WHEN 0 THEN 'log' ELSE 'email' END AS genre, CAST(2 AS BIGINT) AS n_expected, 'personalName' AS last_kind,
+  CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 2 ELSE 3 END::BIGINT AS n_tags, 'E-4521-9' AS forbidden, 'Acme' AS term FROM customer""")
+def corpus_file(spark, sf_dir):
+    """A labelled corpus written as JSON and read again."""
+    c, path = _corpus(spark, sf_dir), _written(spark, "corpus")
+    nested = c.expected.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind", "text", "tags"))), lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), e["tags"].alias("tags"))).alias("expected"))
+    samples = c.samples.join(nested, "id").join(c.forbidden.groupBy("id").agg(F.collect_list("text").alias("mustNotDetect")), "id")
+    # an object a line, each with its own samples, as corpora of any size
+    lines = samples.select(F.array(F.struct("id", "text", "expected", "mustNotDetect", "genre", "writer")).alias("samples"), F.array(F.lit("Acme")).alias("dictionary"))
+    lines.write.json(path)
+    back, terms_read = files.read_corpus(spark, path, lines=True)
+    last = back.expected.groupBy("id").agg(F.count(F.lit(1)).alias("n_expected"), F.max_by("kind", "n").alias("last_kind"), F.max_by(F.size("tags"), "n").cast("long").alias("n_tags"))
+    return back.samples.select("id", "genre").join(last, "id").join(back.forbidden.select("id", F.col("text").alias("forbidden")), "id").withColumn("term", F.lit(terms_read[0]))
+
+
+@_query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE WHEN CAST(c_custkey AS BIGINT) % 4 = 0 THEN '田中' WHEN CAST(c_custkey AS BIGINT) % 4 = 1 THEN '佐藤' WHEN CAST(c_custkey AS BIGINT) % 4 = 2 THEN '東海林' END AS family,
+  CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN '健一' WHEN 1 THEN '花' WHEN 2 THEN '健一' END AS given FROM customer""")
+def name_parts(spark, sf_dir):
+    """A name's family and given part: by the lists, at a space, by the given name alone;
+    none where no list knows it."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", "CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN '田中健一様' WHEN 1 THEN '佐藤 花' WHEN 2 THEN '東海林健一' ELSE '不明者' END")
+
+    @F.udf("struct<family: string, given: string>", useArrow=True)
+    def parts(text):
+        found = _name_lists().parts(text)
+        return {"family": found[0], "given": found[1]} if found else {"family": None, "given": None}
+
+    return docs.select("doc_id", parts("text").alias("p")).select("doc_id", "p.family", "p.given")
+
+
+@_query(f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, concat('田中', chr(10), 'です') AS chunk, CAST(length({_KEY}) + 3 AS BIGINT) AS first_at, CAST(length({_KEY}) + 9 AS BIGINT) AS second_at FROM customer""")
+def narrowed_chunks(spark, sf_dir):
+    """The runs of Japanese in a chunk, with their places in the text."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat('id ', {_KEY}, '田中 abcです')")
+
+    @F.udf("struct<chunk: string, first_at: bigint, second_at: bigint>", useArrow=True)
+    def runs(text):
+        c = batches.narrowed(batches.pack([(text, 0)])[0], text)
+        return {"chunk": c.text, "first_at": c.mapping[0][1], "second_at": c.mapping[1][1]}
+
+    return docs.select("doc_id", runs("text").alias("r")).select("doc_id", "r.*")
+
+
+@_query(f"""WITH o AS (SELECT {_OUTCOME} AS outcome, unnest(list_concat(['all', 'genre:' || CASE CAST(c_custkey % 2 AS INT) WHEN 0 THEN 'log' ELSE 'email' END, 'writer:human'],
+    CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN ['tag:romaji', 'tag:full'] ELSE ['tag:mixed', 'tag:full', 'tag:honorific'] END)) AS label FROM customer WHERE c_custkey % 7 <> 0)
+  SELECT label, concat(CAST(round(count(*) FILTER (outcome = 'covered') / count(*) * 100, 1) AS VARCHAR), '% p', count(*) FILTER (outcome = 'partial')) AS ours, '0.0% p0' AS silent, count(*) AS n FROM o GROUP BY label""")
+def names_comparison(spark, sf_dir):
+    """Recall by label, a column for each of two systems, one of which finds nothing."""
+    c, found = _corpus(spark, sf_dir), _names(spark, sf_dir)
+    tables = {"ours": found, "silent": found.where("false")}
+    return evaluate.comparison({k: evaluate.breakdown(evaluate.name_outcomes(c, v)) for k, v in tables.items()})
+
+
+@_query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(length({_KEY}) + 1 AS BIGINT) AS start, CAST(length({_KEY}) + 8 AS BIGINT) AS stop FROM customer")
+def word_places(spark, sf_dir):
+    """A word decoded from pieces, found although white space parts its characters."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", f"concat({_KEY}, ' 東 京  都港 区')")
+
+    @F.udf("struct<start: bigint, stop: bigint>", useArrow=True)
+    def place(text):
+        found = locate("東 ##京都##港", text)
+        return {"start": found[0], "stop": found[1]} if found else None
+
+    return docs.select("doc_id", place("text").alias("p")).select("doc_id", "p.start", "p.stop")
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, c_custkey % 4 < 2 AS kept FROM customer")
+def kept_pieces(spark, sf_dir):
+    """Vocabulary pieces of use for Japanese and ASCII."""
+    docs = _planted(spark, sf_dir, "customer", "c_custkey", "CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN '▁abc' WHEN 1 THEN '東京。' WHEN 2 THEN 'при' ELSE 'a한' END")
+
+    @F.udf("boolean", useArrow=True)
+    def kept(text):
+        return keep_piece(text)
+
+    return docs.select("doc_id", kept("text").alias("kept"))
+
+
+@_query(f"""WITH l AS (SELECT {_SURFACE} AS surface, min(CAST(c_custkey AS INT)) AS cost FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
+  q AS (SELECT quantile_cont(cost, [0.25, 0.5, 0.75]) AS q FROM l)
+  SELECT surface, cost, CAST(1 + (cost > q[1])::INT + (cost > q[2])::INT + (cost > q[3])::INT AS INT) AS quartile FROM l, q""")
+def cost_quartiles(spark, sf_dir):
+    """Family names by the quartile of their least cost, all of them."""
+    return lexicon_jobs.cost_quartiles(_lexicon(spark, sf_dir), 1 << 30)
+
+
+@_query(f"""SELECT CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'family' WHEN 1 THEN 'given' ELSE 'noun' END AS pool, {_SURFACE} AS surface FROM customer WHERE c_custkey % 10 <> 0""")
+def name_pools(spark, sf_dir):
+    """Family names, given names and nouns without the held-out ones."""
+    entries = _lexicon(spark, sf_dir)
+    return lexicon_jobs.name_pools(entries, entries.where("cost % 10 = 0").select("surface").distinct())
+
+
+@_query(f"SELECT 'word' AS list, concat('w', {_KEY}) AS surface FROM customer")
+def word_list_file(spark, sf_dir):
+    """A word list with line ends of both kinds, empty lines and repeats, read as a lexicon."""
+    path = _written(spark, "words")
+    c = _table(spark, sf_dir, "customer")
+    lines = c.selectExpr(f"concat('w', {_KEY}, CASE WHEN c_custkey % 2 = 0 THEN chr(13) ELSE '' END) AS value")
+    lines.unionByName(lines).unionByName(spark.range(2).selectExpr("'' AS value")).write.text(path)
+    return files.read_word_list(spark, path, "word")
+
+
+@_query(f"SELECT concat('担当: 田中 ', {_KEY}) AS text, 'x' || '4:6' AS spans FROM customer")
+def training_file(spark, sf_dir):
+    """Training rows as JSON lines, read again."""
+    path = _written(spark, "training")
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"concat('担当: 田中 ', {_KEY}) AS text", "array(array(4, 6)) AS spans")
+    files.write_training_rows(rows, path)
+    back = spark.read.schema("text string, spans array<array<int>>").json(path)
+    return back.select("text", F.concat(F.lit("x"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0], s[1])), ",")).alias("spans"))
+
+
+@_query("""SELECT doc_id, CASE WHEN ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0 < 0.37 THEN 'dev' ELSE 'test' END AS side FROM documents""")
+def split_files(spark, sf_dir):
+    """Samples in a folder a side."""
+    path = _written(spark, "split")
+    files.write_split(_table(spark, sf_dir, "documents").select("doc_id", "source"), path, "doc_id")
+    return spark.read.schema("doc_id long, source string, side string").json(path).select("doc_id", "side")
+
+
+@_query("SELECT sha256('tokenizer' || chr(10)) AS sha256")
+def file_digest(spark, sf_dir):
+    """The digest of the file that a fixture belongs to."""
+    path = _written(spark, "digest")
+    spark.range(1).selectExpr("'tokenizer' AS value").coalesce(1).write.text(path)
+    return files.file_digests(spark, f"{path}/*.txt").select("sha256")
+
+
+@_query(f"SELECT concat('[EMAIL_1] ', {_KEY}) AS masked FROM customer")
+def masked_file(spark, sf_dir):
+    """Masked texts written as text, without anything beside them."""
+    path = _written(spark, "masked")
+    files.write_masked(mask(_planted(spark, sf_dir, "customer", "c_custkey", f"concat('a@b.co ', {_KEY})")), path)
+    return spark.read.text(path).select(F.col("value").alias("masked"))
+
+
+@_query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 2 = 0) AS hit, count(*) FILTER (c_custkey % 7 <> 0) AS names FROM customer)
+  SELECT format('{:<20} {:>8} {:>4} {:>7}', 'email', n, hit, n - hit) AS line FROM c
+  UNION ALL SELECT format('{:<20} {:>8} {:>4} {:>7}', 'personalName', names, 0, names) FROM c""")
+def kinds_report(spark, sf_dir):
+    """The table of recall by kind, as the report prints it."""
+    table = evaluate.render_kinds(_corpus(spark, sf_dir), _found(spark, sf_dir)).split("## Missed")[0].splitlines()
+    return spark.createDataFrame([(x,) for x in table if x.startswith(("email ", "personalName "))], "line string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -75,10 +75,11 @@ def _closed(c: F.Column, allowed: tuple[str, ...] | dict, what: str) -> F.Column
     return F.when(c.isNull() | c.isin(*allowed), c).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), c)))
 
 
-def read_corpus(spark: SparkSession, path: str) -> tuple[Corpus, list[str]]:
+def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> tuple[Corpus, list[str]]:
     """A labelled corpus and its dictionary. Unknown kinds, tags, genres and writers
-    are errors; unknown fields are ignored."""
-    raw = spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    are errors; unknown fields are ignored. ``lines``: an object a line, each with some
+    of the samples, so that files can be read in parts."""
+    raw = spark.read.schema(CORPUS_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     samples = raw.select(F.explode("samples").alias("s")).select("s.*")
     s = samples.select("id", "text", _closed(F.col("genre"), GENRES, "genre").alias("genre"), _closed(F.col("writer"), WRITERS, "writer").alias("writer"))
     e = samples.select("id", F.posexplode("expected").alias("n", "e")).select(
@@ -86,7 +87,7 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[Corpus, list[str]]:
         F.transform("e.tags", lambda t: _closed(t, TAGS, "tag")).alias("tags"),
     )
     f = samples.select("id", F.posexplode("mustNotDetect").alias("n", "text"))
-    terms = [t for r in raw.select("dictionary").collect() for t in r[0] or []]
+    terms = [t for r in raw.select(F.explode("dictionary").alias("t")).distinct().sort("t").collect() for t in r]
     return Corpus(s, e, f), terms
 
 
