@@ -77,12 +77,21 @@ def test_emails_and_urls_by_the_plain_patterns(spark):
 
 
 def test_long_runs_are_linear_and_do_not_recurse(spark):
-    runs = ["token: abc123 " + "a-" * 100_000, "a" * 200_000 + "@b", "-" * 200_000, "a." * 100_000 + "@", "://a:" * 40_000, "password=" * 20_000, "a@" * 100_000, "市" * 200_000]
+    runs = ["token: abc123 " + "a-" * 100_000, "a" * 200_000 + "@b", "-" * 200_000, "a." * 100_000 + "@", "://a:" * 40_000, "password=" * 20_000, "a@" * 100_000, "市" * 200_000, "eyJ-" * 50_000]
     rows = mask(spark.createDataFrame(list(enumerate(runs)), "i int, text string").repartition(4)).collect()
     assert len(rows) == len(runs)
     assert {r["i"]: [f["text"] for f in r["findings"]] for r in rows if r["i"] < 3} == {0: ["abc123"], 1: [], 2: []}
 
 
+def test_tokens_of_three_parts_are_found_wherever_they_begin(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["eyJ", "-eyJ", "abcdefgh", "abcdefgh", ".eyJabcdefgh", ".abcdefgh", "-", ".", " ", "é"]) for _ in range(rng.randrange(4, 40))) for _ in range(4000)]
+    texts.append("eyJ-" * 400 + "abcdefgh.eyJabcdefgh.abcdefgh-")
+    c = r"[A-Za-z0-9_\-]"
+    want = [re.findall(rf"\beyJ{c}{{8,}}\.eyJ{c}{{8,}}\.{c}{{8,}}\b", t) for t in texts]
+    assert found(spark, texts, P.prefix_credentials) == want and sum(map(len, want)) > 100
+
+
 def test_named_credentials(spark):
     good = {
         "DB_PASSWORD=hunter2": "hunter2", '-H "X-Api-Key: abc123def456ghi"': "abc123def456ghi", "Authorization: Bearer eyJ.abc": "eyJ.abc", 'Authorization: "Basic dXNlcg=="': "dXNlcg==",

@@ -28,7 +28,9 @@ _SCHEME_BEFORE = r"(?<=[A-Za-z][A-Za-z0-9+.\-]{0,63}://)"
 URL_CREDENTIAL = rf"://{_SCHEME_BEFORE}[^\s:/?#@]++:[^\s/?#@]++@"
 
 #: Published credential shapes: fixed values, each with literals one of which it must
-#: contain.
+#: contain. A token of three parts does not begin where one has begun shortly before in
+#: the same run: it would fail at the run's end as that one did, so long runs of
+#: beginnings cost little.
 PREFIXES = (
     (("A3T", "AKIA", "ASIA", "ABIA", "ACCA"), r"(?U)\b(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}\b"),
     (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?U)\bgh[pousr]_[A-Za-z0-9]{36,255}\b"),
@@ -41,7 +43,7 @@ PREFIXES = (
     (("sk_", "rk_"), r"(?U)\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
     (("npm_",), r"(?U)\bnpm_[A-Za-z0-9]{36}\b"),
     (("SG.",), r"(?U)\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}\b"),
-    (("eyJ",), r"(?U)\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b"),
+    (("eyJ",), r"(?U)(?<!\beyJ[A-Za-z0-9_\-]{0,256})\beyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}\b"),
     (("PRIVATE KEY",), r"(?s)-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?!-----BEGIN ).)*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 )
 
