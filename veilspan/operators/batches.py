@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, MINIMUM = 1500, 32
-_SENTENCE, _CLAUSE = set("。！？!?"), set("、，,；;　 ")
+_SENTENCE, _CLAUSE = "。！？!?", "、，,；;　 "
 _J = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ々〆ヶ"
 _RUN = re.compile(f"[{_J}](?:[ 　、。・：「」（）]*[{_J}])*")
 
@@ -36,13 +36,11 @@ def cut(text: str, start: int, limit: int) -> int:
     """Where the piece from ``start`` on ends: after the last sentence end within the
     limit, else the last clause end, else at the limit. The first character is
     never a cut."""
-    clause = None
-    for at in range(start + limit - 1, start, -1):
-        if text[at] in _SENTENCE:
+    for ends in (_SENTENCE, _CLAUSE):
+        at = max(text.rfind(c, start + 1, start + limit) for c in ends)
+        if at >= 0:
             return at + 1
-        if clause is None and text[at] in _CLAUSE:
-            clause = at + 1
-    return clause or start + limit
+    return start + limit
 
 
 def split_to_fit(text: str, offset: int, limit: int = LIMIT) -> list[tuple[str, int]]:
