@@ -435,7 +435,7 @@ def japanese_lines(spark, sf_dir):
 def batches_pack(spark, sf_dir):
     """Chunks of every document's lines: nothing is lost, and a piece never passes the
     limit."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("lines"), F.col("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", T.lines(F.col("text")).alias("lines"), F.col("text"))
     chunks = batches.chunk_documents(docs, limit=400)
     pieces = chunks.select("id", F.inline("mapping")).groupBy("id").agg(F.sum("len").alias("got"), F.max("len").alias("most"))
     out = docs.join(pieces, docs["doc_id"] == pieces["id"], "left")
