@@ -1,6 +1,8 @@
 """Evaluation, files, jobs, command line."""
 
+import hashlib
 import json
+import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
@@ -97,6 +99,21 @@ def entry(surface, cost, *pos, reading="ヨミ"):
     return ",".join([surface, "1", "1", str(cost), surface, *pos, *["*"] * (6 - len(pos)), reading])
 
 
+def test_lexicon_in_a_pinned_archive(spark, tmp_path):
+    lines = [entry("田中", 5, "名詞", "固有名詞", "人名", "姓", reading="タナカ"), entry('"a,b ""c"""', 3, "名詞", "普通名詞"), entry("森", -1, "名詞", "普通名詞")]
+    (tmp_path / "lex.csv").write_text("\n".join(lines))
+    with zipfile.ZipFile(tmp_path / "lex.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("release/notes.txt", "x")
+        z.writestr("release/small_lex.csv", "\r\n".join(lines) + "\n\n")
+    digest = hashlib.sha256((tmp_path / "lex.zip").read_bytes()).hexdigest()
+    got = files.read_lexicon_zip(spark, str(tmp_path / "lex.zip"), digest).collect()
+    assert sorted(got) == sorted(files.read_lexicon_csv(spark, str(tmp_path / "lex.csv")).collect()) and {r["surface"] for r in got} >= {"田中", "森"} and len(got) == 3
+    with pytest.raises(Exception, match="SHA-256"):
+        files.read_lexicon_zip(spark, str(tmp_path / "lex.zip"), "0" * 64).collect()
+    with pytest.raises(Exception, match="no other.csv"):
+        files.read_lexicon_zip(spark, str(tmp_path / "lex.zip"), digest, "other.csv").collect()
+
+
 def test_jobs(spark, tmp_path):
     person = ("名詞", "固有名詞", "人名")
     rows = [entry("田中", 5, *person, "姓", reading="タナカ"), entry("田中", 3, *person, "姓", reading="タナカ"), entry("森", 1, *person, "姓", reading="モリ"), entry("健一", 4, *person, "名"), entry("会議", 4, "名詞", "普通名詞"), entry("田中", 9, "名詞", "普通名詞")]

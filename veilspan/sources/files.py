@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
+import io
+import itertools
 import os
 import re
 import shutil
 import tempfile
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +27,7 @@ CORPUS_SCHEMA = (
     "version bigint, note string, dictionary array<string>, samples array<struct<id: string, note: string, text: string, "
     "expected: array<struct<kind: string, text: string, tags: array<string>>>, mustNotDetect: array<string>, genre: string, writer: string>>"
 )
+_LEXICON_SCHEMA = ", ".join(f"c{i} string" for i in range(12))
 DETECTIONS_SCHEMA = "system string, samples map<string, struct<names: array<struct<text: string, location: int, length: int>>, rejected: array<string>>>"
 
 
@@ -115,8 +122,33 @@ def read_word_list(spark: SparkSession, path: str, name: str) -> DataFrame:
 def read_lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
     """(surface, cost, pos1 to pos4, reading) of a morphological lexicon: CSV without
     header, by position 0, 3, 5 to 8 and 11."""
-    schema = ", ".join(f"c{i} string" for i in range(12))
-    raw = spark.read.schema(schema).option("escape", '"').csv(path)
+    return _entries(spark.read.schema(_LEXICON_SCHEMA).option("escape", '"').csv(path))
+
+
+def read_lexicon_zip(spark: SparkSession, path: str, sha256: str, member: str = "small_lex.csv") -> DataFrame:
+    """``read_lexicon_csv`` of a member of a zip archive. An archive with another SHA-256
+    than the one given, or without the member, is an error. One archive is one row of
+    Spark's reader, 2 GB at most; its lines leave the worker in batches."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                if hashlib.sha256(content).hexdigest() != sha256.lower():
+                    raise ValueError(f"the archive is not the one with SHA-256 {sha256}")
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    name = next((n for n in archive.namelist() if n.rsplit("/", 1)[-1] == member), None)
+                    if name is None:
+                        raise ValueError(f"the archive has no {member}")
+                    with archive.open(name) as raw:
+                        text = io.TextIOWrapper(raw, encoding="utf-8", newline="\n")
+                        while some := [x.rstrip("\r\n") for x in itertools.islice(text, 10_000)]:
+                            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["line"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string")
+    return _entries(rows.where("line <> ''").select(F.from_csv("line", _LEXICON_SCHEMA, {"escape": '"'}).alias("x")).select("x.*"))
+
+
+def _entries(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("c0").alias("surface"), F.col("c3").cast("int").alias("cost"), *[F.col(f"c{i}").alias(f"pos{i - 4}") for i in range(5, 9)], F.col("c11").alias("reading"))
 
 
