@@ -24,7 +24,8 @@ from ..plugins import Tagger, with_language_model, with_tagger
 class Config:
     """terms: the user's list. tagger and model: factories of models, or None.
     use_tagger, use_model: False turns a given one off. given_names: the seed list
-    of English names, empty to look for none."""
+    of English names, empty to look for none. keep: a test of (text, span) that spans
+    of the patterns must pass, a function of a module, or None."""
 
     terms: list[str] = field(default_factory=list)
     tagger: Callable[[], Tagger] | None = None
@@ -33,6 +34,7 @@ class Config:
     use_tagger: bool = True
     use_model: bool = True
     given_names: list[str] = field(default_factory=lambda: list(patterns.GIVEN_NAMES))
+    keep: Callable[[Column, Column], Column] | None = None
 
 
 @functools.lru_cache(maxsize=64)
@@ -46,9 +48,9 @@ def _column(make: Callable[..., Column], *args: object) -> Column:
     return _built(id(SparkContext._gateway), make, *args)
 
 
-def raw_spans(text: str, terms: tuple[str, ...], given_names: tuple[str, ...]) -> Column:
+def raw_spans(text: str, terms: tuple[str, ...], given_names: tuple[str, ...], keep: Callable[[Column, Column], Column] | None = None) -> Column:
     """All spans of the deterministic detectors over the column named ``text``."""
-    return F.concat(patterns.all_spans(F.col(text), given_names), term_spans(F.col(text), list(terms)))
+    return F.concat(patterns.all_spans(F.col(text), given_names, keep), term_spans(F.col(text), list(terms)))
 
 
 def _reconciled(spans: str) -> Column:
@@ -87,7 +89,7 @@ def detect(df: DataFrame, config: Config | None = None, text: str = "text", extr
     df = df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = with_tagger(df, config.tagger if config.use_tagger else None, config.names, text_col=text)
     df = with_language_model(df, config.model if config.use_model else None, config.names, text_col=text)
-    spans = [_column(raw_spans, text, tuple(config.terms), tuple(config.given_names)), F.col("ner_spans"), F.col("model_spans")] + ([F.col(extra)] if extra else [])
+    spans = [_column(raw_spans, text, tuple(config.terms), tuple(config.given_names), config.keep), F.col("ner_spans"), F.col("model_spans")] + ([F.col(extra)] if extra else [])
     # apart, so that neither spans nor findings are worked out twice
     df = df.withColumn("__spans", F.concat(*spans))
     return df.withColumn("findings", _column(_reconciled, "__spans")).drop("__spans", "ner_spans", "model_spans", "model_ungrounded")

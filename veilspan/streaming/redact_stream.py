@@ -31,7 +31,7 @@ def write_stream(masked: DataFrame, path: str, checkpoint: str, fmt: str = "parq
 def two_phase(stream: DataFrame, first: Callable[[DataFrame, int], None], second: Callable[[DataFrame, int], None], config: Config, checkpoint: str, text: str = "text") -> StreamingQuery:
     """For each micro-batch the deterministic result at once, then the result with the
     models of ``config``."""
-    quick = Config(terms=config.terms, given_names=config.given_names)
+    quick = Config(terms=config.terms, given_names=config.given_names, keep=config.keep)
 
     def both(batch: DataFrame, epoch: int) -> None:
         first(mask(batch, quick, text), epoch)
