@@ -58,7 +58,7 @@ def odd(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["detect_named_secret", "detect_phone", "mask_documents", "mask_stream_documents", "report_documents"])
+@pytest.mark.parametrize("name", ["count_findings_by_kind", "detect_named_secret", "detect_phone", "mask_documents", "mask_stream_documents", "report_documents"])
 def test_twin_of_odd_texts(spark, odd, name):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{odd}/documents.parquet/*.parquet'")
